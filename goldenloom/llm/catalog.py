@@ -10,6 +10,8 @@ MODULES = (
     "groups",
 
     "survivors",
+    "encoding",
+    "mixing",
 
 )
 
