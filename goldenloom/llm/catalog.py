@@ -12,6 +12,7 @@ MODULES = (
     "survivors",
     "encoding",
     "mixing",
+    "residue",
 
 )
 
