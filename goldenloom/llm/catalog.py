@@ -8,6 +8,7 @@ MODULES = (
 
     "format_duplicates",
     "groups",
+    "addresses",
 
     "survivors",
     "encoding",
