@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -332,8 +333,6 @@ def ordered(classes: DataFrame, key: str, scratch: Scratch, label: str) -> DataF
 
 def neighbours(classes: DataFrame, key: str, scratch: Scratch, label: str) -> DataFrame:
     """Pairs (a, b) of classes at most WINDOW places apart in the order of ``key`` that are one building."""
-    import pandas as pd
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", ignore_index=True)
         rows = list(pdf[list(CLASS)].itertuples(index=False, name=None))
@@ -350,8 +349,6 @@ def neighbours(classes: DataFrame, key: str, scratch: Scratch, label: str) -> Da
 
 def joined(classes: DataFrame, keys: list) -> DataFrame:
     """Pairs of classes equal on ``keys`` that are one building."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def same(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
         one, two = (list(x[list(CLASS)].itertuples(index=False, name=None)) for x in (left, right))
