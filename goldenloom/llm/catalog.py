@@ -5,11 +5,10 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
-
+    "name_variants",
     "format_duplicates",
     "groups",
     "addresses",
-
     "survivors",
     "encoding",
     "mixing",
