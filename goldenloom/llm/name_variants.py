@@ -90,13 +90,17 @@ def keys(n: Name, values: list[str], company: bool) -> Iterator[tuple[str, str]]
                 yield f"{own}|{trades}", w
 
 
-def name_keys(records: DataFrame, domains: frozenset[str], company: bool) -> DataFrame:
-    """Rows (rec, bare, key, word). rec is the id, and for firms' own names beside company names the id after "="."""
+def name_keys(records: DataFrame, domains: frozenset[str], spaces: str) -> DataFrame:
+    """Rows (rec, bare, key, word) of names in the spaces c (customers), s (suppliers) and k (companies).
+
+    rec is the space and the id; firms' own names stand beside company names as k=id, without ``bare``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Name] = {}
 
-        def read(text: str) -> Name:
+        def read(text: str | None) -> Name:
+            text = text or ""
             if text not in known:
                 if len(known) > 100_000:
                     known.clear()
@@ -107,19 +111,16 @@ def name_keys(records: DataFrame, domains: frozenset[str], company: bool) -> Dat
             out = []
             for i, name, comp, email, phone, address, city, tax in pdf.itertuples(index=False, name=None):
                 values = evidence(email, phone, address, city, tax, domains)
-                if not company:
-                    n = read(name or "")
-                    if n.bare:
-                        out.append((i, n.bare, None, None))
-                        out += [(i, None, k, w) for k, w in keys(n, values, False)]
-                    continue
-                n = read(comp or "")
-                if n.bare:
-                    out.append((i, n.bare, None, None))
-                    out += [(i, None, k, w) for k, w in keys(n, values, True)]
-                n = read(name or "")
-                if n.bare and is_firm(n):
-                    out += [("=" + i, None, k, w) for k, w in keys(n, values, True)]
+                for space in spaces:
+                    typed = [(space + i, read(comp), True)] if space == "k" else [(space + i, read(name), True)]
+                    if space == "k" and is_firm(read(name)):
+                        typed.append(("k=" + i, read(name), False))
+                    for rec, n, own in typed:
+                        if not n.bare:
+                            continue
+                        if own:
+                            out.append((rec, n.bare, None, None))
+                        out += [(rec, None, k[:2] + space + k[1:], w) for k, w in keys(n, values, space == "k")]
             yield pd.DataFrame(out, columns=["rec", "bare", "key", "word"])
 
     return records.select(*PARTY).mapInPandas(run, "rec string, bare string, key string, word string")
@@ -162,24 +163,22 @@ def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return stars.unionByName(sure).unionByName(guess).unionByName(same_word.select("a", "b"))
 
 
-def variants(records: DataFrame, domains: frozenset[str], company: bool) -> DataFrame:
-    """id1 < id2 of every two records whose names are variants of one party's name."""
-    scratch = Scratch(records.sparkSession, "names")
-    rows = scratch.save(name_keys(records, domains, company), "keys")
+def variants(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(space, id1, id2), id1 < id2, of every two records of a space whose names are variants of one party's name."""
     groups = scratch.save(connected_groups(scratch.save(links(rows, scratch), "links")), "groups")
     typed = rows.where("bare IS NOT NULL").select(F.col("rec").alias("id"), "bare").join(groups, "id")
     left, right = (typed.select("group_id", F.col("id").alias(f"id{k}"), F.col("bare").alias(f"bare{k}")) for k in (1, 2))
-    return left.join(right, "group_id").where("id1 < id2 AND bare1 <> bare2").select("id1", "id2")
+    both = left.join(right, "group_id").where("id1 < id2 AND bare1 <> bare2")
+    return both.select(F.substring("id1", 1, 1).alias("space"), *[F.substring(c, 2, 10_000).alias(c) for c in ("id1", "id2")])
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     customers, suppliers = (parties(spark, d, s) for s in ("customers", "suppliers"))
     domains = open_domains(customers.unionByName(suppliers))
-    names = variants(customers, domains, False).unionByName(variants(suppliers, domains, False))
-    companies = variants(customers, domains, True)
-    return names.select(F.lit("name").alias("field"), "id1", "id2").unionByName(
-        companies.select(F.lit("company").alias("field"), "id1", "id2")
-    )
+    scratch = Scratch(spark, "names")
+    rows = name_keys(customers, domains, "ck").unionByName(name_keys(suppliers, domains, "s"))
+    pairs = variants(scratch.save(rows, "keys"), scratch)
+    return pairs.select(F.when(F.col("space") == "k", "company").otherwise("name").alias("field"), "id1", "id2")
 
 
 QUERIES = {"p1_found": found}
