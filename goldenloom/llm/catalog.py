@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "name_variants",
+    "cross_source",
     "format_duplicates",
     "groups",
     "addresses",

@@ -155,7 +155,8 @@ class Name:
                 core.append(w)
         if len(core) == 1 and not self.trades and (parts := _unglue(core[0])):
             core, self.trades = [parts[0]], [parts[1]]
-        if len(core) > 1 and (self.legal or self.trades):
+        named = any(w in GIVEN or w in _FROM_NICK or len(w) <= 2 for w in core)
+        if len(core) > 1 and (self.legal or self.trades or not named):
             for w in core[:]:
                 if len(core) > 1 and (t := _near_trade(w)):
                     core.remove(w)
