@@ -1,34 +1,30 @@
 """Exact radius joins of words by partitioning their metric space.
 
-The metric is the Levenshtein distance d. Pivots are the empty word, whose
-distance to a word is the word's length, and words chosen farthest-first from
-a bounded sample. A word's home cell is its pair of distances to the first two
-pivots. If d(x, y) <= r, the distances of x and y to any pivot differ by r at
-most (triangle inequality), so a word is replicated to the cells whose
-coordinates are within r of its own and that precede its home cell: every pair
-meets in exactly one cell, the lesser of the two home cells. Cells are cut
-into blocks of at most BLOCK words on either side, so no task grows with a
-crowded cell.
-
-Inside a block pairs are first filtered by bounds that never exceed r for
-words within r (letters that only one has, length, distances to all pivots),
-then the true distance is computed.
+Points are words, each in a space (a value that both must share: points of
+different spaces are infinitely far apart). The metric inside a space is the
+Levenshtein distance d. Pivots are the empty word, whose distance to a word is
+the word's length, and words chosen farthest-first from a bounded sample. A
+point's home cell is its space and its distances to the first two pivots in
+rings of RING. If d(x, y) <= r, the distances of x and y to any pivot differ
+by r at most (triangle inequality), so a point near a ring's edge is replicated
+to the cells that it can reach and that precede its home cell: every pair meets
+in exactly one cell, the lesser of the two home cells. A cell of more than
+BLOCK points is cut into blocks, so no task grows with a crowded cell.
+
+Inside a cell the distances to a further pivot sort most pairs out before the
+true distance is computed. All of it runs on the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldenloom.session import Scratch
-
-BLOCK = 8_192
+BLOCK = 4_096
+RING = 6
 #: Words from which pivots are chosen, and their number beside the empty word.
-SAMPLE, PIVOTS = 2_000, 6
+SAMPLE, PIVOTS = 2_000, 2
 WIDTH = 40
 
 
@@ -75,83 +71,47 @@ def choose_pivots(sample: list[str]) -> list[str]:
     return [sample[i] for i in picked]
 
 
-def letters(words: list[str]) -> np.ndarray:
-    """Bit sets of the letters of each word."""
-    return np.array([sum({1 << (ord(c) % 32) for c in w}) for w in words], np.uint32)
-
-
-def block_pairs(home: pd.DataFrame, other: pd.DataFrame, r: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (into home, into other) of the pairs within r; of one and the same block every pair once."""
-    h, v = home["word"].tolist(), other["word"].tolist()
-    (hc, hn), (vc, vn), hm, vm = codes(h), codes(v), letters(h), letters(v)
-    hd, vd = np.stack(home["far"].to_numpy()).astype(np.int16), np.stack(other["far"].to_numpy()).astype(np.int16)
-    left, right = [], []
-    for at in range(0, len(h), 256):
-        i, j = np.nonzero(np.bitwise_count(hm[at : at + 256, None] ^ vm[None, :]) <= 2 * r)
-        i += at
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        for k in range(hd.shape[1]):
-            keep = np.abs(hd[i, k] - vd[j, k]) <= r
-            i, j = i[keep], j[keep]
-        for s in range(0, len(i), 50_000):
-            x, y = i[s : s + 50_000], j[s : s + 50_000]
-            keep = distances(hc[x], hn[x], vc[y], vn[y]) <= r
-            left.append(x[keep])
-            right.append(y[keep])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+def near_points(points: DataFrame, carry: str, r: int = 2) -> DataFrame:
+    """(space, a, b, carry_a, carry_b) of every two points (space, word) within r, a < b; ``carry`` is a column of theirs."""
+    points = points.where(F.length("word").between(1, WIDTH)).select("space", "word", carry)
+    crowd = points.groupBy("space").agg(F.count("*").alias("n")).where("n > 1").select("space")
+    points = points.join(crowd, "space", "left_semi")
+    sample = points.select("word").distinct().orderBy(F.xxhash64("word")).limit(SAMPLE).collect()
+    pivots = choose_pivots([x["word"] for x in sample])
 
+    def ring(c: Column) -> Column:
+        return F.floor(c / RING).cast("int")
 
-def near_words(words: DataFrame, scratch: Scratch, r: int = 2) -> DataFrame:
-    """(a, b) of every two distinct words of the column ``word`` within Levenshtein distance r, a < b."""
-    words = words.where(F.length("word").between(1, WIDTH)).select("word").distinct()
-    sample = [x["word"] for x in words.orderBy(F.xxhash64("word")).limit(SAMPLE).collect()]
-    pivots = choose_pivots(sample)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pc, pn = codes(pivots)
-        for pdf in batches:
-            c, n = codes(pdf["word"].tolist())
-            far = [n, *(distances(c, n, np.repeat(pc[k : k + 1], len(c), 0), np.repeat(pn[k : k + 1], len(c))) for k in range(len(pivots)))]
-            far = np.stack(far, 1).astype(np.int32)
-            yield pd.DataFrame({"word": pdf["word"], "x": far[:, 0], "y": far[:, 1], "far": list(far)})
-
-    at = scratch.save(words.mapInPandas(measure, "word string, x int, y int, far array<int>"), "measured")
-    step = F.explode(F.array(*[F.lit(i) for i in range(-r, r + 1)]))
-    seen = at.withColumn("dx", step).withColumn("dy", step).select(
-        (F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy"), "x", "y", "word", "far"
+    at = points.select(
+        "*", F.length("word").alias("x"), F.levenshtein("word", F.lit(pivots[0])).alias("y"), F.levenshtein("word", F.lit(pivots[1])).alias("z")
     )
-    # Visitors come from the home cell itself and from cells after it.
-    seen = seen.where((F.col("x") > F.col("cx")) | ((F.col("x") == F.col("cx")) & (F.col("y") >= F.col("cy"))))
-    cells = at.groupBy(F.col("x").alias("cx"), F.col("y").alias("cy")).agg(F.count("*").alias("homes"))
-    guests = seen.groupBy("cx", "cy").agg(F.count("*").alias("guests"))
-    sizes = F.broadcast(  # at most WIDTH x WIDTH cells
-        cells.join(guests, ["cx", "cy"]).select(
-            "cx", "cy",
-            F.ceil(F.col("homes") / BLOCK).cast("int").alias("hs"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("gs"),
-        )
+    homes = at.withColumn("cx", ring(F.col("x"))).withColumn("cy", ring(F.col("y")))
+    reach = F.explode(F.array_distinct(F.array(*[
+        F.struct(ring(F.col("x") + i).alias("cx"), ring(F.col("y") + j).alias("cy")) for i in (-r, 0, r) for j in (-r, 0, r)
+    ])))
+    visits = at.withColumn("c", reach).select("space", "word", carry, "x", "y", "z", "c.cx", "c.cy")
+    hx, hy = ring(F.col("x")), ring(F.col("y"))
+    visits = visits.where((hx > F.col("cx")) | ((hx == F.col("cx")) & (hy >= F.col("cy"))))
+    sizes = homes.groupBy("space", "cx", "cy").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cell = ["space", "cx", "cy"]
+    left = homes.join(sizes, cell).select(
+        *cell, F.pmod(F.xxhash64("word", F.lit(3)), F.col("blocks")).cast("int").alias("block"),
+        F.col("word").alias("w1"), F.col(carry).alias("c1"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"),
     )
-    turn = F.xxhash64("word", F.lit(3))
-    homes = at.select(F.col("x").alias("cx"), F.col("y").alias("cy"), "word", "far").join(sizes, ["cx", "cy"]).select(
-        "cx", "cy", F.pmod(turn, F.col("hs")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), F.col("gs") - 1)).alias("g"),
-        F.lit(True).alias("home"), F.lit(False).alias("own"), "word", "far",
+    right = visits.join(sizes, cell).select(
+        *cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.col("word").alias("w2"), F.col(carry).alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"),
+        ((hx == F.col("cx")) & (hy == F.col("cy"))).alias("own"),
     )
-    visits = seen.join(sizes, ["cx", "cy"]).select(
-        "cx", "cy", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)).alias("h"), F.pmod(turn, F.col("gs")).cast("int").alias("g"),
-        F.lit(False).alias("home"), ((F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy"))).alias("own"), "word", "far",
+    bound = F.lit(True)
+    for c in "xyz":
+        bound &= F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= r
+    # Points of the home cell meet twice, and once with themselves.
+    once = (F.col("w1") < F.col("w2")) | (~F.col("own") & (F.col("w1") != F.col("w2")))
+    pairs = left.join(right, [*cell, "block"]).where(bound & once).where(F.levenshtein("w1", "w2", r) >= 0)
+    first = F.col("w1") < F.col("w2")
+    return pairs.select(
+        "space", F.least("w1", "w2").alias("a"), F.greatest("w1", "w2").alias("b"),
+        F.when(first, F.col("c1")).otherwise(F.col("c2")).alias(f"{carry}_a"),
+        F.when(first, F.col("c2")).otherwise(F.col("c1")).alias(f"{carry}_b"),
     )
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, other = pdf[pdf["home"]].reset_index(drop=True), pdf[~pdf["home"]].reset_index(drop=True)
-        out = pd.DataFrame({"a": [], "b": []}, dtype=object)
-        if len(home) and len(other):
-            i, j = block_pairs(home, other, r, False)
-            a, b = home["word"].to_numpy()[i], other["word"].to_numpy()[j]
-            own = other["own"].to_numpy()[j]
-            keep = (a < b) | (~own & (a != b))  # words of the home cell meet twice
-            out = pd.DataFrame({"a": np.minimum(a[keep], b[keep]), "b": np.maximum(a[keep], b[keep])})
-        return out
-
-    return homes.unionByName(visits).groupBy("cx", "cy", "h", "g").applyInPandas(join, "a string, b string")

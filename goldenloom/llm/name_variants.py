@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from goldenloom.llm.evidence import PARTY, evidence, open_domains, parties
 from goldenloom.llm.groups import connected_groups
-from goldenloom.llm.metric import WIDTH, near_words
+from goldenloom.llm.metric import WIDTH, near_points
 from goldenloom.llm.naming import BRANCHES, Name, acronym, given_names, near, osa
 from goldenloom.session import Scratch
 
@@ -140,27 +140,26 @@ def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
         """1: one edit or swap, 2: near, 0: neither."""
         return pd.Series([1 if osa(x, y, 1) <= 1 and near(x, y) else 2 if near(x, y) else 0 for x, y in zip(a, b)], dtype="int32")
 
-    close = near_words(spots.where("word <> '='").select("word"), scratch)
-    close = scratch.save(close.withColumn("c", closeness("a", "b")).where("c > 0"), "close")
-    both = close.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "c"),
-                                          F.struct(F.col("b").alias("word"), F.col("a").alias("other"), "c"))).alias("e")).select("e.*")
-    reach = spots.join(both, "word")
-    sure = reach.where(~alone & (F.col("word") < F.col("other"))).select("key", F.col("other").alias("word"), F.col("low").alias("a"))
-    sure = sure.join(spots.select("key", "word", F.col("low").alias("b")), ["key", "word"]).select("a", "b")
+    points = spots.where(~alone & (F.col("word") != "=")).select(F.col("key").alias("space"), "word", "low")
+    sure = near_points(points, "low").where(closeness("a", "b") > 0).select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
     # A word that stands alone, without a domain, and the only well-known word of the trade within one edit.
-    trades = spots.where(alone).select(F.substring("key", 3, 10_000).alias("trade"), F.substring("key", 1, 1).alias("own"), "word", "low", "n")
-    whole = trades.groupBy("trade", "word").agg(
-        F.min("low").alias("low"), F.sum("n").alias("n"), F.min("own").alias("least"), F.max("own").alias("own")
+    trades = spots.where(alone).select(F.substring("key", 3, 10_000).alias("space"), F.substring("key", 1, 1).alias("own"), "word", "low", "n")
+    whole = trades.groupBy("space", "word").agg(
+        F.min("low").alias("low"), F.sum("n").alias("n"), F.max("own").alias("own"), F.min("own").alias("least")
     )
-    lone = whole.where((F.col("n") <= RARE) & (F.col("least") == "w")).join(both.where("c = 1"), "word").select(
-        "trade", F.col("word").alias("typed"), F.col("low").alias("a"), F.col("other").alias("word")
-    )
-    guess = lone.join(whole.where(F.col("n") > RARE).select("trade", "word", F.col("low").alias("b")), ["trade", "word"])
-    guess = guess.groupBy("trade", "typed", "a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1").select("a", "b")
-    same_word = keyed.where(alone).select(F.substring("key", 3, 10_000).alias("trade"), "word", "rec").join(
-        guess.join(whole.select("trade", "word", F.col("low").alias("a")), "a").select("trade", "word", "a"), ["trade", "word"]
-    ).where("rec <> a").select(F.col("rec").alias("b"), "a")
-    return stars.unionByName(sure).unionByName(guess).unionByName(same_word.select("a", "b"))
+    whole = whole.where((F.col("n") > RARE) | (F.col("least") == "w")).select("space", "word", F.struct("low", "n").alias("at"))
+    pairs = scratch.save(near_points(whole, "at").where(closeness("a", "b") == 1), "guesses")
+    lone = [
+        pairs.where((F.col(f"at_{x}.n") <= RARE) & (F.col(f"at_{y}.n") > RARE)).select(
+            "space", F.col(x).alias("word"), F.col(f"at_{x}.low").alias("a"), F.col(f"at_{y}.low").alias("b")
+        )
+        for x, y in ("ab", "ba")
+    ]
+    guess = lone[0].unionByName(lone[1]).groupBy("space", "word", "a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1")
+    # At most RARE rows have such a word; they go with it.
+    fellows = keyed.where(F.col("key").like("w|%")).select(F.substring("key", 3, 10_000).alias("space"), "word", "rec")
+    fellows = fellows.join(guess.select("space", "word", "a"), ["space", "word"]).where("rec <> a").select("a", F.col("rec").alias("b"))
+    return stars.unionByName(sure).unionByName(guess.select("a", "b")).unionByName(fellows)
 
 
 def variants(rows: DataFrame, scratch: Scratch) -> DataFrame:
