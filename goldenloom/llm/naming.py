@@ -142,6 +142,8 @@ class Name:
             self.legal = LEGAL_SHORT.get(last, last)
             if re.sub(r"\b(?:the)\b", "", _LEGAL.sub(" ", text)).strip():
                 text = _LEGAL.sub(" ", text)
+            elif len(found) > 1:  # initials that read like a legal form ("CO NV")
+                text = found[0]
         words = [w for w in text.split() if w not in NOISE]
         kept = [w for w in words if w not in TITLES] or words
         self.words = kept
