@@ -14,17 +14,19 @@ MODULES = (
     "encoding",
     "mixing",
     "residue",
-
 )
 
+
 def _collect(attribute: str) -> dict:
     out: dict = {}
     for name in MODULES:
         out.update(getattr(importlib.import_module(f"goldenloom.llm.{name}"), attribute, {}))
     return out
 
+
 def queries() -> dict:
     return _collect("QUERIES")
 
+
 def oracles() -> dict[str, str]:
     return _collect("ORACLES")
