@@ -14,10 +14,10 @@ from goldenloom.operators.components import components
 SLACK = 1e-9
 
 
-def names(entities: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Distinct normalised names of entities of the given types, with how many entities have each and the smallest id."""
-    n = norm(F.coalesce(F.col("fields")["name"], F.col("fields")["full_name"]))
-    rows = entities.where(F.col("entity_type").isin(*kinds)).select("entity_type", n.alias("name"), "entity_id").where("name <> ''")
+def names(entities: DataFrame) -> DataFrame:
+    """Distinct normalised names of entities by type, with how many entities have each and the smallest id."""
+    n = F.regexp_replace(norm(F.coalesce(F.col("fields")["name"], F.col("fields")["full_name"])), r"^\p{Z}+|\p{Z}+$", "")
+    rows = entities.select("entity_type", n.alias("name"), "entity_id").where("name <> ''")
     return rows.groupBy("entity_type", "name").agg(F.count("*").alias("entities"), F.min("entity_id").alias("entity_id"))
 
 

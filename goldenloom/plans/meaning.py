@@ -8,7 +8,8 @@ from goldenloom.operators import survivorship as V
 from goldenloom.plans.scores import CUR
 from goldenloom.session import table
 
-KINDS = ("product", "asset", "location")
+#: The types that the SQL of NAMES is kept to; the queries themselves take all.
+SQL_KINDS = ("product", "asset", "location")
 SEARCHES = ["steel bracket", "sorting line north hall", "valve", "pallet rack"]
 
 
@@ -21,7 +22,7 @@ def _classes(s, d, profile="dev"):
 
 
 def _names(s, d):
-    return S.names(_cur(s, d), KINDS)
+    return S.names(_cur(s, d))
 
 
 def _pairs(s, d, t=0.5):
@@ -142,7 +143,7 @@ def _classes_sql(profile: str) -> str:
 _SERVICE = _classes_sql("service")
 _EDGES = _SERVICE + """, ce AS (SELECT class_name AS child, parent_class AS parent FROM k WHERE class_name <> parent_class
       UNION SELECT parent_class, 'Entity' FROM k WHERE parent_class <> 'Entity')"""
-_KIND_LIST = ", ".join(f"'{k}'" for k in KINDS)
+_KIND_LIST = ", ".join(f"'{k}'" for k in SQL_KINDS)
 NAMES = f"""{CUR}, n AS (SELECT entity_type, name, count(*) AS entities, min(entity_id) AS entity_id FROM (
       SELECT entity_type, entity_id, trim(regexp_replace(lower(coalesce(fields['name'], fields['full_name'])), '\\s+', ' ', 'g')) AS name FROM cur WHERE entity_type IN ({_KIND_LIST}))
       WHERE name <> '' GROUP BY 1, 2)"""

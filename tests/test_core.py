@@ -118,3 +118,20 @@ def test_streaming_deduplicates_and_counts(spark, tmp_path):
     q = windows.rate_limited(stream, 5).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rates").selectExpr("sum(requests)").first()[0] == 40 and spark.table("rates").where("limited").count() > 0
+
+
+def test_names_of_every_type_are_paired(spark):
+    from goldenloom.plans import meaning
+
+    kinds = ("customer", "supplier", "employee", "product", "asset", "location")
+    rows = [(k, f"{k}{i}", {"full_name" if k == "employee" else "name": n}) for k in kinds for i, n in enumerate(("Kelvor Glass Works", "kelvor  glass works ltd"))]
+    cur = spark.createDataFrame(rows, "entity_type string, entity_id string, fields map<string,string>")
+    names, was = S.names(cur), meaning._cur
+    assert {(r["entity_type"], r["name_a"]) for r in S.cosine_pairs(names, 0.5).collect()} == {(k, "kelvor glass works") for k in kinds}
+    assert {r["entity_id"] for r in S.search(names, ["kelvor"], k=99).collect()} == {i for _, i, _ in rows}
+    meaning._cur = lambda s, d: cur
+    try:
+        assert {r["entity_type"] for r in meaning._names(spark, "").collect()} == {*kinds}
+        assert {r["cluster"].split("|")[0] for r in meaning.QUERIES["dup_clusters"](spark, "").collect()} == {*kinds}
+    finally:
+        meaning._cur = was
