@@ -7,17 +7,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldenloom.functions.text import ascii_norm, jaro_winkler, norm, words
+from goldenloom.functions.text import ascii_norm, jaro_winkler, jaro_winkler_of, norm, words
 from goldenloom.operators.components import components
+from goldenloom.rules import FUZZY_WEIGHTS_DEV
 
 #: Rounding guard of prefix bounds.
 SLACK = 1e-9
 
 
+def name_key() -> Column:
+    return F.regexp_replace(norm(F.coalesce(F.col("fields")["name"], F.col("fields")["full_name"])), r"^\p{Z}+|\p{Z}+$", "")
+
+
 def names(entities: DataFrame) -> DataFrame:
     """Distinct normalised names of entities by type, with how many entities have each and the smallest id."""
-    n = F.regexp_replace(norm(F.coalesce(F.col("fields")["name"], F.col("fields")["full_name"])), r"^\p{Z}+|\p{Z}+$", "")
-    rows = entities.select("entity_type", n.alias("name"), "entity_id").where("name <> ''")
+    rows = entities.select("entity_type", name_key().alias("name"), "entity_id").where("name <> ''")
     return rows.groupBy("entity_type", "name").agg(F.count("*").alias("entities"), F.min("entity_id").alias("entity_id"))
 
 
@@ -59,6 +63,75 @@ def pair_scores(pairs: DataFrame, fuzzy_weight: float = 0.65) -> DataFrame:
     return scored.withColumn("combined", F.round(fuzzy_weight * F.col("fuzzy") + (1 - fuzzy_weight) * F.col("cosine"), 4))
 
 
+def profiles(entities: DataFrame) -> DataFrame:
+    """Distinct (entity_type, name, values of the weighted fields) as ``id``, the smallest entity id, and the ids of all entities with them."""
+    values = F.array(*[F.coalesce(F.col("fields")[f], F.lit("")) for f in FUZZY_WEIGHTS_DEV])
+    rows = entities.select("entity_type", F.coalesce(name_key(), F.lit("")).alias("name"), values.alias("values"), "entity_id")
+    return rows.groupBy("entity_type", "name", "values").agg(F.min("entity_id").alias("id"), F.sort_array(F.collect_list("entity_id")).alias("entities"))
+
+
+def weighted_fields(a: Column, b: Column) -> Column:
+    """Mean Jaro-Winkler, by weight, of the fields that both have."""
+    import unicodedata
+
+    def clean(v: str) -> str:
+        return " ".join(unicodedata.normalize("NFKC", v).lower().split())
+
+    def one(x, y) -> float:
+        both = [(jaro_winkler_of(clean(v), clean(w)), k) for v, w, k in zip(x, y, FUZZY_WEIGHTS_DEV.values()) if v and w]
+        return sum(s * k for s, k in both) / sum(k for _, k in both) if both else 0.0
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run(a, b)
+
+
+def entity_pair_scores(entities: DataFrame, fuzzy_weight: float = 0.65) -> DataFrame:
+    """Scores of pairs of profiles by all weighted fields.
+
+    Pairs have names with a cosine that the threshold of 0.8 can reach, equal names, or an equal mail address, phone or tax number.
+    """
+    p = profiles(entities)
+    names = p.where("name <> ''").select("entity_type", "name").distinct()
+    a, b = (p.select("entity_type", F.col("name").alias(f"name_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    ids = [F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")]
+    near = cosine_pairs(names, 0.42).join(a, ["entity_type", "name_a"]).join(b, ["entity_type", "name_b"]).select(*ids)
+    same = [F.struct(F.lit("name").alias("field"), F.col("name").alias("value"))]
+    for i, f in enumerate(FUZZY_WEIGHTS_DEV):
+        if f in ("email", "contact_email", "phone", "tax_id"):
+            same.append(F.struct(F.lit(f).alias("field"), norm(F.col("values")[i]).alias("value")))
+    keyed = p.select("entity_type", "id", F.inline(F.array(*same))).where("value <> ''")
+    x, y = (keyed.select("entity_type", "field", "value", F.col("id").alias(f"id_{k}")) for k in "ab")
+    pairs = near.unionByName(x.join(y, ["entity_type", "field", "value"]).where("id_a < id_b").select(*ids)).distinct()
+    full = [p.select(F.col("id").alias(f"id_{k}"), F.struct("entity_type", "name", "values").alias(k)) for k in "ab"]
+    pairs = pairs.join(full[0], "id_a").join(full[1], "id_b")
+    scored = pairs.select(
+        F.col("a.entity_type").alias("entity_type"), "id_a", "id_b", weighted_fields("a.values", "b.values").alias("exact"),
+        F.round(F.coalesce(_cosine(F.col("a.name"), F.col("b.name")), F.lit(0.0)), 4).alias("cosine"),
+    )
+    return scored.select("entity_type", "id_a", "id_b", F.round("exact", 4).alias("fuzzy"), "cosine", F.round(fuzzy_weight * F.col("exact") + (1 - fuzzy_weight) * F.col("cosine"), 4).alias("combined"))
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    """Cosine of the term counts of two texts, null if one has no terms."""
+    x, y = words(a), words(b)
+
+    def dot(p, q):
+        return F.aggregate(p, F.lit(0.0), lambda s, t: s + F.size(F.filter(q, lambda u: u == t)))
+
+    return F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
+
+
+def entity_clusters(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(entity_id, cluster) of all entities that are connected by scores at or above the threshold; those of one profile are, if its name has terms."""
+    p = profiles(entities)
+    far = entity_pair_scores(entities).where(F.col("combined") >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    own = p.where(F.size(words(F.col("name"))) > 0).select(F.col("id").alias("a"), F.explode("entities").alias("b")).where("a <> b")
+    return components(far.unionByName(own)).select(F.col("id").alias("entity_id"), F.col("component").alias("cluster"))
+
+
 def band(c: Column) -> Column:
     return F.when(c >= 0.92, "high").when(c >= 0.84, "medium").otherwise("low")
 

@@ -103,6 +103,8 @@ QUERIES = {
     "fuzzy_pair_scores": lambda s, d: _scored(s, d).select("entity_type", "name_a", "name_b", "fuzzy"),
     "combined_pair_scores": lambda s, d: _scored(s, d).select("entity_type", "name_a", "name_b", "combined"),
     "dup_clusters": lambda s, d: S.clusters(_scored(s, d), 0.8),
+    "entity_pair_scores": lambda s, d: S.entity_pair_scores(_cur(s, d)),
+    "entity_dup_clusters": lambda s, d: S.entity_clusters(_cur(s, d)),
     "confidence_breakdown": _confidence,
     "duplicate_bands": _bands,
     "field_score_breakdown": _breakdown,

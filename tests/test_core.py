@@ -135,3 +135,13 @@ def test_names_of_every_type_are_paired(spark):
         assert {r["cluster"].split("|")[0] for r in meaning.QUERIES["dup_clusters"](spark, "").collect()} == {*kinds}
     finally:
         meaning._cur = was
+
+
+def test_all_weighted_fields_decide(spark):
+    party = {"name": "Kelvor Glass Works", "email": "info@kelvor.example", "phone": "2125550001", "tax_id": "123456780"}
+    rows = [("c1", party), ("c2", party | {"name": "Kelvor Glass Wroks"}), ("c3", party), ("c4", party | {"email": "z", "phone": "9", "tax_id": "9"}), ("c5", {"name": "Zebra", "tax_id": "123456780"})]
+    cur = spark.createDataFrame([("customer", i, f) for i, f in rows], "entity_type string, entity_id string, fields map<string,string>")
+    got = {(r["id_a"], r["id_b"]): (r["fuzzy"], r["combined"]) for r in S.entity_pair_scores(cur).collect()}
+    name = X.jaro_winkler_of("kelvor glass works", "kelvor glass wroks")
+    assert got["c1", "c2"][0] == round((name * 0.3 + 0.57) / 0.87, 4) and got["c1", "c4"][1] < 0.8 and got["c1", "c5"][0] < 0.8 and ("c1", "c3") not in got
+    assert {r["entity_id"]: r["cluster"] for r in S.entity_clusters(cur).collect()} == {"c1": "c1", "c2": "c1", "c3": "c1"}
