@@ -7,7 +7,8 @@ Rows that parse alike are one class. Classes are sorted by three differing
 orders of their components; in each order a class is compared with its WINDOW
 successors. House numbers and directions must be equal; streets and towns may
 differ by edits and swapped letters, unless both spellings are common in the
-corpus, which makes them two names ("Ridge", "Bridge"). Orders are cut into
+corpus, which makes them two names ("Ridge", "Bridge"); a spelling far rarer
+than one near to it is a misspelling, however many rows it has. Orders are cut into
 buckets of bounded size that overlap by a window, so no task grows with a
 frequent number, street or town.
 
@@ -37,8 +38,8 @@ from goldenloom.session import Scratch, table
 
 WINDOW = 20
 BUCKET = 4_096
-#: A spelling is common if so many addresses have it: at least COMMON, or this share of all.
-COMMON, COMMON_SHARE = 15, 0.0005
+#: A spelling is common if at least COMMON addresses have it and no near spelling is in RATIO times as many.
+COMMON, RATIO = 15, 20
 
 # Street types and their abbreviations, by canonical type.
 _TYPES = {
@@ -301,12 +302,29 @@ def with_towns(rows: DataFrame) -> DataFrame:
     ).drop("usual")
 
 
+def shortened(word: str) -> list[str]:
+    """The word and what is left of it without as many letters as it may differ by; near words share one of these."""
+    out = last = {word}
+    for _ in range(_room(word, word)):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return sorted(out)
+
+
 def with_common(rows: DataFrame) -> DataFrame:
-    """Marks streets and towns whose spelling is common in the corpus."""
-    total = rows.agg(F.count("*")).first()[0]
-    least = max(COMMON, COMMON_SHARE * total)
+    """Marks streets and towns whose spelling is common in the corpus and no misspelling of a far more common one."""
+    @F.pandas_udf("boolean")
+    def misspelt(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_near(x, y, False, False) for x, y in zip(a, b)], dtype="bool")
+
+    cuts = F.udf(shortened, "array<string>")
     for c in ("street", "town"):
-        counts = rows.groupBy(c).agg((F.count("*") >= least).alias(f"{c}_common"))
+        counts = rows.groupBy(c).agg(F.count("*").alias("n"))
+        many = counts.where((F.col("n") >= COMMON) & (F.col(c) != "")).select(F.col(c).alias("w"), "n", F.explode(cuts(c)).alias("cut"))
+        most = many.where(F.col("n") >= COMMON * RATIO).select(F.col("w").alias("right"), F.col("n").alias("most"), "cut")
+        rare = many.join(most, "cut").where(F.col("most") >= RATIO * F.col("n")).select("w", "right").distinct()
+        rare = rare.where(misspelt("w", "right")).select(F.col("w").alias(c), F.lit(True).alias("misspelt")).distinct()
+        counts = counts.join(rare, c, "left").select(c, ((F.col("n") >= COMMON) & F.col("misspelt").isNull()).alias(f"{c}_common"))
         rows = rows.join(counts, c)
     return rows
 
