@@ -10,8 +10,8 @@ Two records are linked when they have equal or near words and agree on a value
 beside the name: a tax number, phone or mail address, or, if the branch of the
 firm or the initial of the person is the same too, a mail domain or a building.
 Firms also match by initials ("BG KG") on such a value. A company typed without
-any such value counts by its full canonical name, and a misspelling of it that
-stands alone is linked to the one well-known firm of the same trade within one
+any such value counts by its full canonical name, and a far rarer misspelling of it
+without a domain is linked to the one well-known firm of the same trade within one
 edit. Links of records with equal words are stars to the smallest id, so a
 value or name held by a third of all rows adds one link a row. Linked records
 form groups (:mod:`goldenloom.llm.groups`); the variants of a group are paired.
@@ -37,8 +37,8 @@ from goldenloom.llm.metric import WIDTH, near_points
 from goldenloom.llm.naming import BRANCHES, Name, acronym, given_names, near, osa
 from goldenloom.session import Scratch
 
-#: A misspelt firm may be linked without further evidence if at most RARE rows have its word and more have the other.
-RARE = 2
+#: A misspelt firm may be linked without further evidence if the other word has RATIO times its rows, or if at most RARE rows have it and more the other.
+RARE, RATIO = 2, 20
 
 
 def is_firm(n: Name) -> bool:
@@ -142,21 +142,24 @@ def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     points = spots.where(~alone & (F.col("word") != "=")).select(F.col("key").alias("space"), "word", "low")
     sure = near_points(points, "low").where(closeness("a", "b") > 0).select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
-    # A word that stands alone, without a domain, and the only well-known word of the trade within one edit.
+    # A rare word on rows without a domain, and the only well-known word of the trade within one edit.
     trades = spots.where(alone).select(F.substring("key", 3, 10_000).alias("space"), F.substring("key", 1, 1).alias("own"), "word", "low", "n")
-    whole = trades.groupBy("space", "word").agg(
-        F.min("low").alias("low"), F.sum("n").alias("n"), F.max("own").alias("own"), F.min("own").alias("least")
-    )
-    whole = whole.where((F.col("n") > RARE) | (F.col("least") == "w")).select("space", "word", F.struct("low", "n").alias("at"))
+    whole = trades.groupBy("space", "word").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.min(F.when(F.col("own") == "w", F.col("low"))).alias("lone"))
+    whole = whole.where((F.col("n") > RARE) | F.col("lone").isNotNull()).select("space", "word", F.struct("low", "n", "lone").alias("at"))
     pairs = scratch.save(near_points(whole, "at").where(closeness("a", "b") == 1), "guesses")
-    lone = [
-        pairs.where((F.col(f"at_{x}.n") <= RARE) & (F.col(f"at_{y}.n") > RARE)).select(
-            "space", F.col(x).alias("word"), F.col(f"at_{x}.low").alias("a"), F.col(f"at_{y}.low").alias("b")
-        )
-        for x, y in ("ab", "ba")
-    ]
-    guess = lone[0].unionByName(lone[1]).groupBy("space", "word", "a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n = 1")
-    # At most RARE rows have such a word; they go with it.
+    one, two = (
+        pairs.select("space", F.col(x).alias("word"), F.col(f"at_{x}").alias("x"), F.col(y).alias("other"), F.col(f"at_{y}").alias("y")) for x, y in ("ab", "ba")
+    )
+    far = F.col("y.n") >= RATIO * F.col("x.n")
+    known = one.unionByName(two).where(far | ((F.col("x.n") <= RARE) & (F.col("y.n") > RARE)))
+    bent = known.where(far).select("space", F.col("word").alias("other")).distinct().withColumn("bent", F.lit(1))
+    # Another misspelling of the well-known word is no second firm.
+    known = known.where("x.lone IS NOT NULL").join(bent, ["space", "other"], "left").withColumn("bent", F.coalesce("bent", F.lit(0)))
+    guess = known.groupBy("space", "word", F.col("x.lone").alias("a")).agg(
+        F.min(F.struct("bent", F.col("y.low").alias("b"))).alias("best"), F.count_if(F.col("bent") == 0).alias("firms"), F.count("*").alias("n")
+    )
+    guess = guess.where("firms = 1 OR firms = 0 AND n = 1").select("space", "word", "a", F.col("best.b").alias("b"))
+    # The other rows without a domain that have such a word go with it.
     fellows = keyed.where(F.col("key").like("w|%")).select(F.substring("key", 3, 10_000).alias("space"), "word", "rec")
     fellows = fellows.join(guess.select("space", "word", "a"), ["space", "word"]).where("rec <> a").select("a", F.col("rec").alias("b"))
     return stars.unionByName(sure).unionByName(guess.select("a", "b")).unionByName(fellows)
