@@ -11,8 +11,8 @@ from goldenloom.llm.addresses import parse
 from goldenloom.llm.naming import fold
 from goldenloom.session import table
 
-#: A mail domain with more rows than this, or than this share of all rows, belongs to no one firm.
-OPEN_ROWS, OPEN_SHARE = 20, 0.002
+#: A mail domain with more rows than this, or than this share of all rows, belongs to no one firm, unless more than OWN of its firms' rows name one firm.
+OPEN_ROWS, OPEN_SHARE, OWN = 20, 0.002, 0.5
 
 
 def digits_of_tax(tax: str | None) -> str:
@@ -71,10 +71,34 @@ def parties(spark: SparkSession, d: str, source: str) -> DataFrame:
 
 
 def open_domains(records: DataFrame) -> frozenset[str]:
-    """Domains of mail providers; at most 1 / OPEN_SHARE of them can pass the share, so the list is bounded."""
+    """Domains of mail providers; at most 1 / OPEN_SHARE domains can pass the share, so the list is bounded.
+
+    A domain that passes it is a firm's own if one firm word stands beside it in most of the rows that name a firm.
+    """
     domain = F.udf(lambda e: parts_of_email(e)[1], "string")
     raw = F.lower(F.regexp_replace(F.element_at(F.split("email", "@"), -1), r"[^A-Za-z0-9._\-]", ""))
-    counts = records.where(F.col("email").contains("@")).groupBy(raw.alias("raw")).agg(F.count("*").alias("n"))
+    mailed = records.where(F.col("email").contains("@"))
+    counts = mailed.groupBy(raw.alias("raw")).agg(F.count("*").alias("n"))
     total = records.count()
-    named = counts.select(domain(F.concat(F.lit("x@"), "raw")).alias("domain"), "n").groupBy("domain").agg(F.sum("n").alias("n"))
-    return frozenset(r["domain"] for r in named.where(F.col("n") > max(OPEN_ROWS, OPEN_SHARE * total)).collect())
+    named = counts.select("raw", domain(F.concat(F.lit("x@"), "raw")).alias("domain"), "n")
+    many = named.groupBy("domain").agg(F.sum("n").alias("n")).where(F.col("n") > max(OPEN_ROWS, OPEN_SHARE * total)).select("domain")
+    frequent = frozenset(r["domain"] for r in many.collect())
+    if not frequent:
+        return frequent
+    word = F.udf(firm_word, "string")
+    texts = mailed.groupBy(raw.alias("raw"), "name", "company").agg(F.count("*").alias("n"))
+    beside = texts.join(named.where(F.col("domain").isin(*frequent)).select("raw", "domain"), "raw")
+    beside = beside.select("domain", word("name", "company").alias("word"), "n").where("word IS NOT NULL").groupBy("domain", "word").agg(F.sum("n").alias("n"))
+    own = beside.groupBy("domain").agg((F.max("n") > OWN * F.sum("n")).alias("own")).where("own")
+    return frequent - {r["domain"] for r in own.collect()}
+
+
+def firm_word(name: str | None, company: str | None) -> str | None:
+    """The first word that tells the company, or the firm that is the party itself, from others."""
+    from goldenloom.llm.name_variants import is_firm, key_words
+    from goldenloom.llm.naming import Name
+
+    for text in (company, name):
+        if text and (n := Name(text)).bare and is_firm(n) and (words := key_words(n)):
+            return words[0]
+    return None
