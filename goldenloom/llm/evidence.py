@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from goldenloom.llm.addresses import parse
 from goldenloom.llm.naming import fold
 from goldenloom.session import table
 
-#: A mail domain with more rows than this, or than this share of all rows, belongs to no one firm, unless more than OWN of its firms' rows name one firm.
-OPEN_ROWS, OPEN_SHARE, OWN = 20, 0.002, 0.5
+#: Mail domains with more than this share of all rows are looked at; one is a provider's if no firm word stands in OWN of its rows that
+#: name a firm, by more than DOUBT standard deviations.
+OPEN_SHARE, OWN, DOUBT = 0.002, 0.5, 1.64
 
 
 def digits_of_tax(tax: str | None) -> str:
@@ -73,24 +75,32 @@ def parties(spark: SparkSession, d: str, source: str) -> DataFrame:
 def open_domains(records: DataFrame) -> frozenset[str]:
     """Domains of mail providers; at most 1 / OPEN_SHARE domains can pass the share, so the list is bounded.
 
-    A domain that passes it is a firm's own if one firm word stands beside it in most of the rows that name a firm.
+    A domain is a provider's if the firms beside it are many: the most frequent firm word is too rare to be the owner's.
     """
-    domain = F.udf(lambda e: parts_of_email(e)[1], "string")
+    @F.pandas_udf("string")
+    def domain(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda e: parts_of_email("x@" + e)[1] if e else None)
+
+    @F.pandas_udf("string")
+    def word(name: pd.Series, company: pd.Series) -> pd.Series:
+        return pd.Series([firm_word(n, c) for n, c in zip(name, company)], dtype="object")
+
     raw = F.lower(F.regexp_replace(F.element_at(F.split("email", "@"), -1), r"[^A-Za-z0-9._\-]", ""))
-    mailed = records.where(F.col("email").contains("@"))
-    counts = mailed.groupBy(raw.alias("raw")).agg(F.count("*").alias("n"))
+    mailed = records.where(F.col("email").contains("@")).select(raw.alias("raw"), "name", "company")
+    counts = mailed.groupBy("raw").agg(F.count("*").alias("n"))
     total = records.count()
-    named = counts.select("raw", domain(F.concat(F.lit("x@"), "raw")).alias("domain"), "n")
-    many = named.groupBy("domain").agg(F.sum("n").alias("n")).where(F.col("n") > max(OPEN_ROWS, OPEN_SHARE * total)).select("domain")
-    frequent = frozenset(r["domain"] for r in many.collect())
+    # Spellings of a domain differ by layout alone, so a frequent domain has a frequent spelling or many rare ones of its stem.
+    named = counts.select("raw", domain("raw").alias("domain"), "n")
+    many = named.groupBy("domain").agg(F.sum("n").alias("n")).where(F.col("n") > OPEN_SHARE * total).select("domain")
+    frequent = sorted(r["domain"] for r in many.collect() if r["domain"])
     if not frequent:
-        return frequent
-    word = F.udf(firm_word, "string")
-    texts = mailed.groupBy(raw.alias("raw"), "name", "company").agg(F.count("*").alias("n"))
-    beside = texts.join(named.where(F.col("domain").isin(*frequent)).select("raw", "domain"), "raw")
+        return frozenset()
+    spelt = named.where(F.col("domain").isin(*frequent)).select("raw", "domain")
+    beside = mailed.join(spelt, "raw").groupBy("domain", "name", "company").agg(F.count("*").alias("n"))
     beside = beside.select("domain", word("name", "company").alias("word"), "n").where("word IS NOT NULL").groupBy("domain", "word").agg(F.sum("n").alias("n"))
-    own = beside.groupBy("domain").agg((F.max("n") > OWN * F.sum("n")).alias("own")).where("own")
-    return frequent - {r["domain"] for r in own.collect()}
+    rows, best = F.sum("n"), F.max("n")
+    provider = (OWN * rows - best > DOUBT * F.sqrt(OWN * (1 - OWN) * rows)).alias("provider")
+    return frozenset(r["domain"] for r in beside.groupBy("domain").agg(provider).where("provider").collect())
 
 
 def firm_word(name: str | None, company: str | None) -> str | None:

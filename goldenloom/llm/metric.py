@@ -1,39 +1,47 @@
 """Exact radius joins of words by partitioning their metric space.
 
-Points are words, each in a space (a value that both must share: points of
-different spaces are infinitely far apart). The metric inside a space is the
-Levenshtein distance d. Pivots are the empty word, whose distance to a word is
-the word's length, and words chosen farthest-first from a bounded sample. A
-point's home cell is its space and its distances to the first two pivots in
-rings of RING. If d(x, y) <= r, the distances of x and y to any pivot differ
-by r at most (triangle inequality), so a point near a ring's edge is replicated
-to the cells that it can reach and that precede its home cell: every pair meets
-in exactly one cell, the lesser of the two home cells. A cell of more than
-BLOCK points is cut into blocks, so no task grows with a crowded cell.
-
-Inside a cell the distances to a further pivot sort most pairs out before the
-true distance is computed. All of it runs on the JVM.
+Points are the distinct words of a corpus, the metric is the Levenshtein
+distance d. Pivots are the empty word, whose distance to a word is the word's
+length, and a word chosen farthest-first from a bounded sample. A point's home
+cell is given by its distances to the pivots in rings of RING. If d(x, y) <= r,
+the distances of x and y to any pivot differ by r at most (triangle inequality),
+so a point near a ring's edge is replicated to the cells that it can reach and
+that precede its home cell: every pair meets in exactly one cell, the lesser of
+the two home cells. A cell of more than BLOCK points is cut into blocks and its
+pairs of blocks are separate groups, so no task grows with a crowded cell.
+
+Two lower bounds of d sort out most pairs inside a cell before the true distance
+is computed; neither loses a pair. The distance to the pivot "aaa..." of many
+letters is its length less the number of a's in the word, so an edit moves at
+most two of all such distances by one: the signature of letter counts differs in
+4 bits at most for two edits. An edit touches two neighbouring pairs of letters,
+so the signature of letter pairs differs in 8 bits at most.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4_096
-RING = 6
-#: Words from which pivots are chosen, and their number beside the empty word.
-SAMPLE, PIVOTS = 2_000, 2
-WIDTH = 40
+BLOCK = 16_384
+RING = 4
+#: Words from which the pivot is chosen.
+SAMPLE = 2_000
+RADIUS = 2
+#: Words up to this length are compared many at a time, longer ones singly.
+WIDE = 64
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, padded with 0, and their lengths; words are at most WIDTH letters long."""
-    out = np.zeros((len(words), WIDTH), np.uint32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w]
-    return out, np.array([len(w) for w in words], np.int64)
+    """Code points of the words, padded with 0, and their lengths."""
+    n = np.array([len(w) for w in words], np.int64)
+    wide = int(n.max()) if len(words) else 0
+    if not wide:
+        return np.zeros((len(words), 0), np.uint32), n
+    flat = np.frombuffer("".join(w.ljust(wide, "\0") for w in words).encode("utf-32-le"), np.uint32)
+    return flat.reshape(len(words), wide), n
 
 
 def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -56,62 +64,135 @@ def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> n
     return out
 
 
-def choose_pivots(sample: list[str]) -> list[str]:
-    """Words farthest from those chosen before; the first is the one farthest from the first of the sample."""
-    if not sample:
-        return [""] * PIVOTS
-    c, n = codes(sample)
-    to = lambda i: distances(c, n, np.repeat(c[i : i + 1], len(c), 0), np.repeat(n[i : i + 1], len(c)))
-    nearest = to(int(np.argmax(to(0))))
-    picked = [int(np.argmax(nearest))]
-    nearest = to(picked[0])
-    while len(picked) < PIVOTS:
-        picked.append(int(np.argmax(nearest)))
-        nearest = np.minimum(nearest, to(picked[-1]))
-    return [sample[i] for i in picked]
-
-
-def near_points(points: DataFrame, carry: str, r: int = 2) -> DataFrame:
-    """(space, a, b, carry_a, carry_b) of every two points (space, word) within r, a < b; ``carry`` is a column of theirs."""
-    points = points.where(F.length("word").between(1, WIDTH)).select("space", "word", carry)
-    crowd = points.groupBy("space").agg(F.count("*").alias("n")).where("n > 1").select("space")
-    points = points.join(crowd, "space", "left_semi")
-    sample = points.select("word").distinct().orderBy(F.xxhash64("word")).limit(SAMPLE).collect()
-    pivots = choose_pivots([x["word"] for x in sample])
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def from_pivot(words: list[str], pivot: str) -> np.ndarray:
+    """Distances of words to one word."""
+    out = np.zeros(len(words), np.int32)
+    short = [i for i, w in enumerate(words) if len(w) <= WIDE]
+    a, la = codes([words[i] for i in short])
+    p, lp = codes([pivot])
+    out[short] = distances(a, la, np.repeat(p, len(short), 0), np.repeat(lp, len(short)))
+    for i, w in enumerate(words):
+        if len(w) > WIDE:
+            out[i] = distance(w, pivot)
+    return out
+
+
+def choose_pivot(sample: list[str]) -> str:
+    """The word farthest from the one that is farthest from the first of the sample."""
+    short = [w for w in sample if len(w) <= WIDE]
+    if not short:
+        return ""
+    far = short[int(np.argmax(from_pivot(short, short[0])))]
+    return short[int(np.argmax(from_pivot(short, far)))]
+
+
+def signatures(word: str) -> tuple[int, int]:
+    """Bits of letter counts (at least one, at least two) and of neighbouring letters."""
+    letters = pairs = 0
+    for c in word:
+        g = ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 5
+        bit = 1 << 2 * g
+        letters |= bit << 1 if letters & bit else bit
+    for x, y in zip("\0" + word, word + "\0"):
+        pairs |= 1 << (ord(x) * 31 + ord(y) * 7) % 63
+    return letters, pairs
+
+
+def swapped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of equal length differ by two neighbouring letters in each other's place."""
+    wide = min(a.shape[1], b.shape[1])
+    a, b = a[:, :wide], b[:, :wide]
+    off = a != b
+    first = off.argmax(1)
+    at, nxt = np.arange(len(a)), np.minimum(first + 1, max(wide - 1, 0))
+    return (off.sum(1) == 2) & off[at, nxt] & (a[at, first] == b[at, nxt]) & (a[at, nxt] == b[at, first])
+
+
+def _pairs_of(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """Near pairs of two blocks; ``same`` if they are one block, whose own points then meet once, and once with themselves."""
+    right = right.sort_values("size", kind="stable", ignore_index=True)
+    x, y = left["word"].to_numpy(object), right["word"].to_numpy(object)
+    lx, ly = left["letters"].to_numpy(np.uint64), right["letters"].to_numpy(np.uint64)
+    px, py = left["pairs"].to_numpy(np.uint64), right["pairs"].to_numpy(np.uint64)
+    sx, sy, own = left["size"].to_numpy(), right["size"].to_numpy(), right["own"].to_numpy(bool)
+    starts, ends = np.searchsorted(sy, sx - RADIUS), np.searchsorted(sy, sx + RADIUS, "right")
+    ii, jj = [], []
+    for i in range(len(x)):
+        s, e = starts[i], ends[i]
+        j = np.flatnonzero(np.bitwise_count(ly[s:e] ^ lx[i]) <= 2 * RADIUS) + s
+        if len(j):
+            j = j[np.bitwise_count(py[j] ^ px[i]) <= 4 * RADIUS]
+            ii.append(np.full(len(j), i, np.int64))
+            jj.append(j)
+    ii, jj = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (ii, jj))
+    if same:
+        keep = ~own[jj] | (x[ii] <= y[jj])
+        ii, jj = ii[keep], jj[keep]
+    d, one = np.zeros(len(ii), np.int16), np.zeros(len(ii), bool)
+    long = np.maximum(sx[ii], sy[jj]) > WIDE
+    cx, cy = (codes([w if len(w) <= WIDE else "" for w in ws])[0] for ws in (x, y))
+    plain = np.flatnonzero(~long)
+    for at in range(0, len(plain), 200_000):
+        k = plain[at : at + 200_000]
+        i, j = ii[k], jj[k]
+        d[k] = distances(cx[i], sx[i], cy[j], sy[j])
+        one[k] = (d[k] <= 1) | ((d[k] == 2) & (sx[i] == sy[j]) & swapped(cx[i], cy[j]))
+    for k in np.flatnonzero(long):
+        a, b = x[ii[k]], y[jj[k]]
+        d[k] = distance(a, b)
+        off = [i for i, (p, q) in enumerate(zip(a, b)) if p != q]
+        one[k] = d[k] <= 1 or (d[k] == 2 and len(a) == len(b) and len(off) == 2 and off[1] == off[0] + 1 and a[off[0]] == b[off[1]] and a[off[1]] == b[off[0]])
+    keep = d <= RADIUS
+    a, b = x[ii[keep]], y[jj[keep]]
+    first = a <= b
+    return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a), "distance": d[keep].astype(np.int32), "one": one[keep]})
+
+
+def near_points(words: DataFrame) -> DataFrame:
+    """(a, b, distance, one) of every two distinct ``word`` values within RADIUS edits, a <= b; every word is 0 from itself.
+
+    ``one``: at most one edit if a swap of neighbouring letters counts as one.
+    """
+    words = words.select("word").where("word <> ''").distinct()
+    pivot = choose_pivot([r["word"] for r in words.orderBy(F.xxhash64("word")).limit(SAMPLE).collect()])
+
+    def place(batches):
+        for pdf in batches:
+            own = pdf["word"].tolist()
+            both = [signatures(w) for w in own]
+            yield pd.DataFrame({
+                "word": own, "size": np.array([len(w) for w in own], np.int32), "far": from_pivot(own, pivot),
+                "letters": np.array([a for a, _ in both], np.int64), "pairs": np.array([b for _, b in both], np.int64),
+            })
+
+    placed = words.mapInPandas(place, "word string, size int, far int, letters bigint, pairs bigint")
 
     def ring(c: Column) -> Column:
         return F.floor(c / RING).cast("int")
 
-    at = points.select(
-        "*", F.length("word").alias("x"), F.levenshtein("word", F.lit(pivots[0])).alias("y"), F.levenshtein("word", F.lit(pivots[1])).alias("z")
-    )
-    homes = at.withColumn("cx", ring(F.col("x"))).withColumn("cy", ring(F.col("y")))
-    reach = F.explode(F.array_distinct(F.array(*[
-        F.struct(ring(F.col("x") + i).alias("cx"), ring(F.col("y") + j).alias("cy")) for i in (-r, 0, r) for j in (-r, 0, r)
-    ])))
-    visits = at.withColumn("c", reach).select("space", "word", carry, "x", "y", "z", "c.cx", "c.cy")
-    hx, hy = ring(F.col("x")), ring(F.col("y"))
-    visits = visits.where((hx > F.col("cx")) | ((hx == F.col("cx")) & (hy >= F.col("cy"))))
-    sizes = homes.groupBy("space", "cx", "cy").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cell = ["space", "cx", "cy"]
-    left = homes.join(sizes, cell).select(
-        *cell, F.pmod(F.xxhash64("word", F.lit(3)), F.col("blocks")).cast("int").alias("block"),
-        F.col("word").alias("w1"), F.col(carry).alias("c1"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1"),
-    )
-    right = visits.join(sizes, cell).select(
-        *cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.col("word").alias("w2"), F.col(carry).alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"),
-        ((hx == F.col("cx")) & (hy == F.col("cy"))).alias("own"),
-    )
-    bound = F.lit(True)
-    for c in "xyz":
-        bound &= F.abs(F.col(f"{c}1") - F.col(f"{c}2")) <= r
-    # Points of the home cell meet twice, and once with themselves.
-    once = (F.col("w1") < F.col("w2")) | (~F.col("own") & (F.col("w1") != F.col("w2")))
-    pairs = left.join(right, [*cell, "block"]).where(bound & once).where(F.levenshtein("w1", "w2", r) >= 0)
-    first = F.col("w1") < F.col("w2")
-    return pairs.select(
-        "space", F.least("w1", "w2").alias("a"), F.greatest("w1", "w2").alias("b"),
-        F.when(first, F.col("c1")).otherwise(F.col("c2")).alias(f"{carry}_a"),
-        F.when(first, F.col("c2")).otherwise(F.col("c1")).alias(f"{carry}_b"),
-    )
+    steps = (-RADIUS, 0, RADIUS)
+    reach = F.array_distinct(F.array(*[F.struct(ring(F.col("size") + i).alias("cx"), ring(F.col("far") + j).alias("cy")) for i in steps for j in steps]))
+    home = F.struct(ring(F.col("size")).alias("cx"), ring(F.col("far")).alias("cy"))
+    visits = placed.withColumn("home", home).select("*", F.explode(F.filter(reach, lambda c: c <= F.col("home"))).alias("cell"))
+    visits = visits.withColumn("own", F.col("cell") == F.col("home")).drop("home", "far")
+    sizes = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    visits = visits.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("word", F.lit(3)), F.col("blocks")).cast("int"))
+    # Own points of block i meet own points of block j >= i and visitors of any block j.
+    last = F.col("blocks") - 1
+    left = visits.where("own").select("*", F.lit(True).alias("left"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    right = visits.select("*", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("block")).otherwise(last))).alias("i"), F.col("block").alias("j"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        here = pdf["left"].to_numpy(bool)
+        return _pairs_of(pdf[here], pdf[~here], bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]))
+
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(meet, "a string, b string, distance int, one boolean")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from goldenloom.llm import format_duplicates as D
 from goldenloom.llm import groups, metric, survivors
 from goldenloom.llm.naming import osa
@@ -77,21 +79,13 @@ def test_survivors_rank_and_ties(spark):
     assert got == {("g", "name"): "e1", ("g", "email"): "e2", ("g", "city"): "e1"}
 
 
-def test_radius_join_loses_nothing(spark):
+@pytest.mark.parametrize("block", [16_384, 20])
+def test_radius_join_loses_nothing(spark, monkeypatch, block):
+    monkeypatch.setattr(metric, "BLOCK", block)
     rng = random.Random(6)
-    words = sorted({"".join(rng.choices("abcdo", k=rng.randint(2, 16))) for _ in range(150)} | {"kestrel", "kestral", "kesterl", "heron"})
-    points = [("s", w, i) for i, w in enumerate(words)] + [("t", w, i) for i, w in enumerate(words[:40])] + [("u", "alone", 1)]
-    got = metric.near_points(spark.createDataFrame(points, "space string, word string, n int"), "n", 2).collect()
-
-    def lev(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, z in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != z)))
-            row = new
-        return row[-1]
-
-    want = {(s, a, b) for s, ws in (("s", words), ("t", words[:40])) for a in ws for b in ws if a < b and lev(a, b) <= 2}
-    assert sorted((r["space"], r["a"], r["b"]) for r in got) == sorted(want)
-    assert osa("kestrel", "kesterl", 2) == 1
+    words = sorted({"".join(rng.choices("abcdoé", k=rng.randint(1, 16))) for _ in range(150)} | {"kestrel", "kestral", "kesterl", "heron", "x" * 90, "x" * 89 + "y", "日本", "日本語"})
+    df = spark.createDataFrame([(w, 1) for w in [*words, *words[:9], "", None]], "word string, a int")
+    got = sorted((r["a"], r["b"], r["distance"], r["one"]) for r in metric.near_points(df).collect())
+    want = sorted((a, b, d, osa(a, b, 1) <= 1) for a in words for b in words if a <= b and (d := metric.distance(a, b)) <= 2)
+    assert got == want
+    assert osa("kestrel", "kesterl", 2) == 1 and metric.near_points(df.limit(0)).count() == 0
