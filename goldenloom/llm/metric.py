@@ -25,8 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 16_384
+BLOCK = 8_192
 RING = 4
+#: Partitions over which the pairs of blocks are spread; their work grows with the square of a block, not with its bytes.
+PARTS = 96
 #: Words from which the pivot is chosen.
 SAMPLE = 2_000
 RADIUS = 2
@@ -64,6 +66,32 @@ def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> n
     return out
 
 
+def within(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Levenshtein distances up to RADIUS of the columns of a to those of b, more beyond it: only the diagonals within RADIUS are computed."""
+    r, n = RADIUS, a.shape[1]
+    far = np.int8(100)
+    b = np.concatenate([b, np.zeros((max(len(a) + r + 1 - len(b), 0), n), b.dtype)])
+    row = [np.full(n, k - r if k >= r else far, np.int8) for k in range(2 * r + 1)]
+    out = np.full(n, far, np.int8)
+    off = lb - la + r
+    for i in range(len(a) + 1):
+        if i:
+            new = []
+            for k in range(2 * r + 1):
+                j = i + k - r
+                best = row[k] + (a[i - 1] != b[j - 1]) if j > 0 else np.full(n, far, np.int8)
+                if k < 2 * r:
+                    best = np.minimum(best, row[k + 1] + np.int8(1))
+                if k and j > 0:
+                    best = np.minimum(best, new[k - 1] + np.int8(1))
+                new.append(np.minimum(best, far))
+            row = new
+        done = np.flatnonzero(la == i)
+        if len(done):
+            out[done] = np.stack([x[done] for x in row])[off[done], np.arange(len(done))]
+    return out
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -140,12 +168,15 @@ def _pairs_of(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFra
     d, one = np.zeros(len(ii), np.int16), np.zeros(len(ii), bool)
     long = np.maximum(sx[ii], sy[jj]) > WIDE
     cx, cy = (codes([w if len(w) <= WIDE else "" for w in ws])[0] for ws in (x, y))
+    tx, ty = np.ascontiguousarray(cx.T), np.ascontiguousarray(cy.T)
     plain = np.flatnonzero(~long)
-    for at in range(0, len(plain), 200_000):
-        k = plain[at : at + 200_000]
+    for at in range(0, len(plain), 100_000):
+        k = plain[at : at + 100_000]
         i, j = ii[k], jj[k]
-        d[k] = distances(cx[i], sx[i], cy[j], sy[j])
-        one[k] = (d[k] <= 1) | ((d[k] == 2) & (sx[i] == sy[j]) & swapped(cx[i], cy[j]))
+        d[k] = within(tx[: max(sx[i].max(), 1), i], sx[i], ty[:, j], sy[j])
+        one[k] = d[k] <= 1
+        k = k[(d[k] == 2) & (sx[i] == sy[j])]
+        one[k] = swapped(cx[ii[k]], cy[jj[k]])
     for k in np.flatnonzero(long):
         a, b = x[ii[k]], y[jj[k]]
         d[k] = distance(a, b)
@@ -195,4 +226,5 @@ def near_points(words: DataFrame) -> DataFrame:
         here = pdf["left"].to_numpy(bool)
         return _pairs_of(pdf[here], pdf[~here], bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]))
 
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(meet, "a string, b string, distance int, one boolean")
+    meetings = left.unionByName(right).repartition(PARTS, "cell", "i", "j")
+    return meetings.groupBy("cell", "i", "j").applyInPandas(meet, "a string, b string, distance int, one boolean")
