@@ -9,9 +9,12 @@ core; alternating large-star and small-star joins solve it. Every removed
 vertex keeps a pointer to a vertex of its component that outlived it, and the
 labels are restored along these pointers in reverse order.
 
-No step gathers a vertex's neighbours in one place: degrees and neighbours are
-count, min and max, which are pre-aggregated, so a vertex or a group may hold
-any part of all rows.
+Degrees and neighbours are count, min and max, which are pre-aggregated; no
+step collects a vertex's neighbours. Where edges meet a table of vertices (one
+row each), a hub that holds a large part of all edges is split by adaptive
+execution: the joins are plain equi-joins, and the side of the vertices is read
+by every part. Counts are taken while a table is written, so a round costs one
+job for the degrees and one for each table it leaves behind.
 
 Defined results: rows with a null id, an id paired with itself and repeated
 pairs in either direction add nothing; ids without a link are no group; an
@@ -23,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from goldenloom.operators.components import star_forest
 from goldenloom.session import Scratch, table
 
 
@@ -49,42 +53,36 @@ class Shrinking:
     """Edges (a < b, distinct) shrunk round by round; ``log`` holds the removed vertices (id, parent)."""
 
     def __init__(self, scratch: Scratch, edges: DataFrame):
-        self.scratch, self.edges, self.step, self.log = scratch, edges, 0, []
+        self.scratch, self.step, self.log = scratch, 0, []
+        self.edges = self.save(edges, "edges")
+        self.measure()
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         self.step += 1
         return self.scratch.save(df, f"{label}-{self.step}")
 
+    def measure(self) -> None:
+        """Degrees of the edges left, and how many vertices have one or two."""
+        self.step += 1
+        count = lambda d: F.count_if(F.col("deg") == d).alias(f"of{d}")
+        self.degrees, self.seen = self.scratch.save_and(_degrees(self.edges), f"degrees-{self.step}", count(1), count(2), F.count(F.lit(1)).alias("all"))
+
     def replace(self, edges: DataFrame) -> None:
-        old = f"edges-{self.step}"
         self.edges = self.save(edges, "edges")
-        self.scratch.drop(old)
+        self.measure()
 
-    def strip(self) -> int:
+    def strip(self) -> None:
         """Removes vertices of degree one; of two that have only each other, the greater."""
-        leaves = self.save(
-            _degrees(self.edges).where("deg = 1").select(F.col("u").alias("id"), F.col("lo").alias("parent")), "leaves"
-        )
-        alone = (
-            leaves.groupBy(F.least("id", "parent").alias("id"), F.greatest("id", "parent").alias("parent"))
-            .agg(F.count("*").alias("n"))
-            .where("n = 2")
-            .select("id", "parent")
-        )
-        gone = self.save(leaves.join(alone, ["id", "parent"], "left_anti"), "stripped")
-        n = gone.count()
-        if n:
-            self.log.append(gone)
-            self.replace(_without(self.edges, gone))
-        return n
-
-    def compress(self) -> int:
+        leaves = self.degrees.where("deg = 1").select(F.col("u").alias("id"), F.col("lo").alias("parent"))
+        other = leaves.select(F.col("id").alias("parent"), F.col("parent").alias("id"), F.lit(True).alias("mutual"))
+        gone = leaves.join(other, ["id", "parent"], "left").where("mutual IS NULL OR id > parent").select("id", "parent")
+        gone = self.save(gone, "stripped")
+        self.log.append(gone)
+        self.replace(_without(self.edges, gone))
+
+    def compress(self) -> None:
         """Removes chains of degree-two vertices; closed rings become one group at once."""
-        chain = self.save(_degrees(self.edges).where("deg = 2").select("u", "lo", "hi"), "chain")
-        n = chain.count()
-        if not n:
-            return 0
-        far = self.rank(chain)
+        far = self.rank(self.degrees.where("deg = 2").select("u", "lo", "hi"))
         ends = far.groupBy("v").agg(
             F.min("tv").alias("t1"), F.max("tv").alias("t2"), F.min("m").alias("m"), F.bool_or("ring").alias("ring")
         )
@@ -93,7 +91,6 @@ class Shrinking:
         self.log.append(gone.where("id <> parent"))
         bridges = ends.where("NOT ring AND t1 <> t2").select(F.col("t1").alias("a"), F.col("t2").alias("b"))
         self.replace(_without(self.edges, gone).unionByName(bridges).distinct())
-        return n
 
     def rank(self, chain: DataFrame) -> DataFrame:
         """List ranking: for each arc v -> n out of a chain vertex the end (tv) reached that way."""
@@ -104,64 +101,42 @@ class Shrinking:
             F.when(F.col("lo").isNotNull(), F.when(F.col("lo") == F.col("v"), F.col("hi")).otherwise(F.col("lo"))).alias("tn"),
             F.least("v", "n").alias("m"),
         )
-        arcs = self.save(arcs, "arcs")
         before = None
         while True:
-            now = arcs.where("tn IS NOT NULL").agg(F.count("*"), F.sum(F.xxhash64("m").cast("decimal(38,0)"))).first()
+            self.step += 1
+            open_ = F.col("tn").isNotNull()
+            arcs, now = self.scratch.save_and(arcs, f"arcs-{self.step}", F.count_if(open_).alias("open"), F.bit_xor(F.when(open_, F.xxhash64("v", "n", "m"))).alias("mix"))
+            if before:
+                self.scratch.drop(f"arcs-{self.step - 1}")
             # Any open chain finishes some arc in every round: no change means that only rings are left.
-            if now[0] == 0 or (before and tuple(now) == before):
-                break
-            before = tuple(now)
+            if not now["open"] or now == before:
+                return arcs.withColumn("ring", F.col("tn").isNotNull())
+            before = now
             to = arcs.select(F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("tv").alias("tv2"),
                              F.col("tn").alias("tn2"), F.col("m").alias("m2"))
             jumped = arcs.where("tn IS NOT NULL").join(to, ["tv", "tn"]).select(
                 "v", "n", F.col("tv2").alias("tv"), F.col("tn2").alias("tn"), F.least("m", "m2").alias("m")
             )
-            old = f"arcs-{self.step}"
-            arcs = self.save(arcs.where("tn IS NULL").unionByName(jumped), "arcs")
-            self.scratch.drop(old)
-        return arcs.withColumn("ring", F.col("tn").isNotNull())
+            arcs = arcs.where("tn IS NULL").unionByName(jumped)
 
     def core(self) -> DataFrame:
         """Component minimum of every vertex left, by alternating large-star and small-star."""
-        stars = self.edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        before = None
-        while True:
-            pairs = stars.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-            near = _both(pairs)
-            low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            large = large.where("u <> v")
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = (
-                large.join(low, "u")
-                .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
-                                          F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-                .select("e.u", "e.v").where("u <> v").distinct()
-            )
-            stars = self.save(small, "stars")
-            now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-            if now == before:
-                return stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            before = now
+        stars = star_forest(self.edges.select(F.col("b").alias("u"), F.col("a").alias("v")), self.scratch)
+        return stars.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def connected_groups(pairs: DataFrame) -> DataFrame:
     """id, group_id for every id of ``pairs`` (a, b) that is linked to another; group_id is the smallest id."""
     spark = pairs.sparkSession
-    scratch = Scratch(spark, "groups")
     edges = (
         pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    graph = Shrinking(scratch, scratch.save(edges, "edges-0"))
-    while True:
-        removed = graph.compress()
-        removed += graph.strip()
-        if not removed:
-            break
-    labels = graph.core() if not graph.edges.isEmpty() else spark.createDataFrame([], "id string, root string")
+    graph = Shrinking(Scratch(spark, "groups"), edges)
+    while graph.seen["of2"] or graph.seen["of1"]:
+        graph.compress() if graph.seen["of2"] else graph.strip()
+    labels = graph.core() if graph.seen["all"] else spark.createDataFrame([], "id string, root string")
     for gone in reversed(graph.log):
         labels = graph.save(
             gone.join(labels.select(F.col("id").alias("parent"), "root"), "parent", "left")
