@@ -1,19 +1,21 @@
 """Template residue and error-page text: labelled exemplars found by containment.
 
-A text is cut into passage windows (sentences and lines). Open gaps of any
-notation become one token, GAP; ids, numbers, addresses and names become fillers
-without weight. Token weights are inverse window frequencies over the whole
-corpus, counted in a table of SLOTS hash slots (a fixed bound, so it can be
-broadcast at any corpus size; slots shared by rare tokens only lower a weight a
-little).
-
-A window is compared with labelled exemplars through an inverted index. The
-containment is the share of the window's weight that the exemplar covers. To
-reach the threshold t an exemplar must hold one of the window's heaviest tokens
+A text is cut into passage windows (sentences and lines), and a window into
+tokens. Open gaps of any notation become one token, GAP; ids, numbers, addresses
+and names become fillers without weight. Windows of the same tokens are one
+class: the corpus is cut into tokens once, and everything that follows looks at
+classes. Token weights are inverse class frequencies over the whole corpus, so
+the copies of a text, however many, do not change what it weighs. They are
+counted in a table of SLOTS hash slots (a fixed bound, so it can be broadcast at
+any corpus size; slots shared by rare tokens only lower a weight a little).
+
+A class is compared with labelled exemplars through an inverted index. The
+containment is the share of the class's weight that the exemplar covers. To
+reach the threshold t an exemplar must hold one of the class's heaviest tokens
 that together weigh more than 1 - t of it, so looking up only these loses
 nothing. Exemplars of letters and forms need a gap, or two words side by side
 between which the exemplar has one; filled ones are content. Exemplars labelled
-"mention" write about gaps, filler or errors; a window they cover better is no
+"mention" write about gaps, filler or errors; a class they cover better is no
 case.
 
 Defined results: null, empty and blank texts are no cases; repeats of a case
@@ -31,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldenloom.llm.exemplars import EXEMPLARS
-from goldenloom.session import table
+from goldenloom.session import Scratch, table
 
 SLOTS = 1 << 18
 THRESHOLD = 0.62
-#: Least weight that an exemplar must cover; keeps single common words from being cases.
-MASS = 5.0
+#: Least weight that an exemplar must cover; keeps single common words from being cases. In a corpus so small that it holds no such weight,
+#: RARE of the weight of a word seen nowhere.
+MASS, RARE = 5.0, 0.7
 #: Weight of the lightest token.
 FLOOR = 0.3
 #: Windows longer than this many tokens are cut into overlapping parts, so work stays linear in long lines.
@@ -45,16 +48,20 @@ GAP, FILL, END = "⟨gap⟩", "⟨fill⟩", "⟨end⟩"
 #: Greatest weight of a word that no exemplar holds in a window of capitals, where names can't be told from words.
 SHOUT = 3.0
 
-_NAME = r"[A-Za-zÀ-ÿ_][A-Za-zÀ-ÿ0-9_. ]{0,40}"
+# A name in a gap of single brackets has at most six words; doubled brackets hold anything.
+_NAME = r"[A-Za-zÀ-ÿ_][A-Za-zÀ-ÿ0-9_]*(?:[ .][A-Za-zÀ-ÿ0-9_]+){0,5}"
 _GAPS = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|<%=?[^%\n]{0,60}%>|\$\{[^}\n]{0,60}\}|\[\[[^\]\n]{0,60}\]\]|<<[^<>\n]{1,60}>>|«(?! )[^»\n]{1,60}»"
-    rf"|##{_NAME}##|@@{_NAME}@@|__{_NAME}?__|\*\|{_NAME}\|\*|%{_NAME}?%|%[sSdD]\b|\$\d\b|\{{[A-Za-zÀ-ÿ0-9_. ]{{1,40}}\}}"
+    r"\{\{[^{}\n]*\}\}|<%=?[^%\n]*%>|\$\{[^${}\n]*\}|\[\[[^\[\]\n]*\]\]|<<[^<>\n]+>>|«(?! )[^«»\n]+»"
+    rf"|##{_NAME}##|@@{_NAME}@@|__{_NAME}?__|\*\|{_NAME}\|\*|%{_NAME}?%|%[sSdD]\b|\$\d\b|\{{[A-Za-zÀ-ÿ0-9_. ]+\}}"
     rf"|\[{_NAME}\]|<{_NAME}>|\([Yy](?:our|OUR) {_NAME} (?:here|HERE)\)|\b(?:NaN|NAN|undefined|UNDEFINED|null|NULL)\b|_{{4,}}"
 )
 _MAYBE = re.compile(r"[{<\[%$«#@*(]|__|[Nn][aAuU][NlL]|undefined|UNDEFINED")
+_HINT = re.compile(r"[@\d]")
 _PLAIN = re.compile(r"[\w.+-]+@[\w.-]+|\b[a-z]{4}-\d{6,}|\b[A-Z]{4}-\d{6,}|\d[\d.,:/-]*")
 _TOKEN = re.compile(rf"{GAP}|{FILL}|[^\W\d_]+|[,;:!?]|\.(?=\s|$)")
 _CUT = re.compile(r"(?<=[.!?。！？])\s+|[\r\n\v\f]+")
+#: Leads the tokens of a window of capitals.
+LOUD = "!!"
 
 
 def windows(text: str) -> Iterator[str]:
@@ -63,23 +70,39 @@ def windows(text: str) -> Iterator[str]:
             yield part
 
 
-def tokens(window: str, known: frozenset | None = None) -> list[str]:
-    """Tokens of a window; capitalised words inside it that no exemplar holds are fillers."""
+def _found(window: str) -> list[str]:
     if _MAYBE.search(window):
         window = _GAPS.sub(f" {GAP} ", window)
-    found = _TOKEN.findall(_PLAIN.sub(f" {FILL} ", window))
-    if known is None:
-        return [t.lower() for t in found]
-    shouting = window.upper() == window
-    out = []
-    for i, t in enumerate(found):
-        low = t.lower()
-        if low[0] == "x" and len(low) > 2 and not low.strip("x"):
-            low = "xx"
-        if i and t[0].isupper() and not shouting and low not in known:
-            low = FILL
-        out.append(low)
-    return out
+    return _TOKEN.findall(_PLAIN.sub(f" {FILL} ", window) if _HINT.search(window) else window)
+
+
+class Tokens:
+    """Tokens of windows; capitalised words inside one that no exemplar holds are fillers."""
+
+    def __init__(self, known: frozenset):
+        self.known, self.seen = known, {}
+
+    def __call__(self, window: str) -> list[str]:
+        seen, loud, out = self.seen, window.upper() == window, []
+        for t in _found(window):
+            got = seen.get(t)
+            if got is None:
+                if len(seen) > 300_000:
+                    seen.clear()
+                low = t.lower()
+                if low[0] == "x" and len(low) > 2 and not low.strip("x"):
+                    low = "xx"
+                got = seen[t] = (low, t[0].isupper() and low not in self.known)
+            out.append(FILL if got[1] and out and not loud else got[0])
+        return out
+
+    def classes(self, text: str) -> list[str]:
+        """The classes of a text's windows in their order."""
+        out = []
+        for w in windows(text):
+            lead = [LOUD] if w.upper() == w else []
+            out += [" ".join(lead + part) for part in spans(self(w)) if part]
+        return out
 
 
 def spans(found: list[str]) -> Iterator[list[str]]:
@@ -90,6 +113,10 @@ def spans(found: list[str]) -> Iterator[list[str]]:
             yield found[i : i + SPAN]
 
 
+def known_words(exemplars) -> frozenset:
+    return frozenset(t.lower() for _, text in exemplars for t in _found(text) if _weighty(t)) | {"xx"}
+
+
 def slot(token: str) -> int:
     import xxhash
 
@@ -106,13 +133,15 @@ class Index:
     def __init__(self, counts, total: int, exemplars=EXEMPLARS, threshold: float = THRESHOLD, mass: float = MASS):
         import math
 
-        self.known = frozenset(t for _, text in exemplars for t in tokens(text) if _weighty(t)) | {"xx"}
-        self.counts, self.top, self.cut, self.mass = counts, math.log(total + 2), threshold, mass
+        self.known = known_words(exemplars)
+        tokens = Tokens(self.known)
+        self.counts, self.top, self.cut = counts, math.log(total + 2), threshold
+        self.mass = min(mass, RARE * self.top)
         self.kinds = [kind for kind, _ in exemplars]
         self.posts: dict[str, list[int]] = defaultdict(list)
         self.pairs: list[frozenset] = []
         for i, (_, text) in enumerate(exemplars):
-            found = tokens(text, self.known)
+            found = tokens(text)
             for t in set(found):
                 if _weighty(t):
                     self.posts[t].append(i)
@@ -172,63 +201,79 @@ class Index:
         kind = max(best, key=lambda k: best[k])
         return kind if best[kind] >= self.cut and best[kind] > mention else None
 
-    def residue(self, text: str) -> str | None:
-        for w in windows(text):
-            loud = w.upper() == w
-            for part in spans(tokens(w, self.known)):
-                if found := self.kind(part, loud):
-                    return found
-        return None
 
+def cut(docs: DataFrame, exemplars) -> DataFrame:
+    """(doc_id, at, class) of the windows of every text."""
+    import pyarrow as pa
+
+    known = known_words(exemplars)
 
-def count_slots(docs: DataFrame):
-    """(windows per token slot, number of windows) over all texts; the table has SLOTS entries at any size."""
+    def run(batches):
+        tokens = Tokens(known)
+        for batch in batches:
+            ids, at, classes = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = tokens.classes(text) if text else []
+                ids += [i] * len(found)
+                at += range(len(found))
+                classes += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(classes, pa.string())], ["doc_id", "at", "class"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, at int, class string")
+
+
+def count_slots(classes: DataFrame):
+    """(classes per token slot, number of classes); the table has SLOTS entries at any size."""
     import numpy as np
     import pyarrow as pa
 
-    known = frozenset(t for _, text in EXEMPLARS for t in tokens(text) if _weighty(t)) | {"xx"}
-
     def run(batches):
         slots: dict[str, int] = {}
         sums, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
-            for cell in batch.column(0):
-                for w in windows(cell.as_py() or ""):
-                    n += 1
-                    for t in set(tokens(w, known)):
-                        s = slots.get(t)
-                        if s is None:
-                            if len(slots) > 500_000:
-                                slots.clear()
-                            s = slots[t] = slot(t)
-                        sums[s] += 1
+            for cell in batch.column(0).to_pylist():
+                n += 1
+                for t in set(cell.split(" ")):
+                    s = slots.get(t)
+                    if s is None:
+                        if len(slots) > 500_000:
+                            slots.clear()
+                        s = slots[t] = slot(t)
+                    sums[s] += 1
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1)), pa.array(np.append(sums[used], n))], ["slot", "n"]
         )
 
-    got = docs.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = classes.select("class").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SLOTS, np.float64)
     here = got[got.slot >= 0]
     counts[here.slot.to_numpy()] = here.n.to_numpy()
     return counts, int(got[got.slot < 0].n.sum())
 
 
-def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and residue kind of every document that holds residue."""
+def classify(docs: DataFrame, threshold: float = THRESHOLD, exemplars=EXEMPLARS) -> DataFrame:
+    """doc_id and residue kind of every document that holds residue; the kind is that of the first window which does."""
     import pyarrow as pa
 
-    counts, total = count_slots(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, total))
+    scratch = Scratch(docs.sparkSession, "residue")
+    held = scratch.save(cut(docs, exemplars), "windows")
+    classes = scratch.save(held.select("class").distinct(), "classes")
+    shared = docs.sparkSession.sparkContext.broadcast(count_slots(classes))
 
     def run(batches):
-        index = Index(*shared.value, threshold=threshold)
+        index = Index(*shared.value, exemplars=exemplars, threshold=threshold)
         for batch in batches:
-            kinds = [index.residue(t) if (t := c.as_py()) else None for c in batch.column(1)]
-            hit = pa.array([k is not None for k in kinds])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["doc_id", "kind"]).filter(hit)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, kind string")
+            kinds = []
+            for c in batch.column(0).to_pylist():
+                found = c.split(" ")
+                loud = found[0] == LOUD
+                kinds.append(index.kind(found[1:] if loud else found, loud))
+            hit = pa.array([k is not None for k in kinds], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["class", "kind"]).filter(hit)
+
+    hits = classes.mapInArrow(run, "class string, kind string")
+    return held.join(hits, "class").groupBy("doc_id").agg(F.min_by("kind", "at").alias("kind"))
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:

@@ -68,5 +68,16 @@ def test_residue_cases(spark):
     assert got == set(range(len(CASES)))
 
 
+def test_a_third_of_all_documents_may_hold_one_residue(spark):
+    docs = [(i, "Loading...", None, "", "") for i in range(100)] + [(1000 + i, t, None, "", "") for i, t in enumerate(PLAIN)]
+    got = {r["doc_id"] for r in residue.classify(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == set(range(100))
+
+
+def test_gaps_have_no_greatest_length(spark):
+    docs = [(1, "Dear {{ " + "customer name or the like " * 9 + "}},", None, "", "")] + [(1000 + i, t, None, "", "") for i, t in enumerate(PLAIN)]
+    assert [r["doc_id"] for r in residue.classify(spark.createDataFrame(docs, DOCS)).collect()] == [1]
+
+
 def test_residue_of_an_empty_table(spark):
     assert residue.classify(spark.createDataFrame([], DOCS)).count() == 0
