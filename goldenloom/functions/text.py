@@ -16,10 +16,6 @@ def norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-def ascii_norm(c: Column) -> Column:
-    return norm(F.regexp_replace(c, r"[^\x00-\x7F]", ""))
-
-
 def words(c: Column) -> Column:
     """Word tokens of more than two letters."""
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 2)
@@ -105,11 +101,14 @@ def token_sort_ratio_of(a: str, b: str) -> float:
 
 
 def partial_token_sort_ratio_of(a: str, b: str) -> float:
-    """Best ratio of the shorter sorted text against windows of the longer one of its length."""
+    """Best ratio of the shorter sorted text against windows of its length of the longer one, shorter ones at its ends."""
     x, y = sorted((" ".join(sorted(a.split())), " ".join(sorted(b.split()))), key=len)
     if not x:
         return 1.0 if not y else 0.0
-    return max(indel_ratio_of(x, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1))
+    if x in y:
+        return 1.0
+    n = len(x)
+    return max(indel_ratio_of(x, y[max(i, 0) : i + n]) for i in range(1 - n, len(y)))
 
 
 def _pairwise(of):

@@ -1,135 +1,164 @@
-"""Similarity of entities: term vectors, exact cosine joins with prefix filtering, pair scores, search."""
+"""Similarity of entities: term vectors of their texts, exact cosine joins with prefix filtering, weighted field scores, clusters, search.
+
+Entities of one type whose filled fields are all the same are one profile,
+named by its smallest id; pairs are pairs of profiles, and ``membership`` says
+which entities a profile stands for, so copies are never paired out.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldenloom.functions.text import ascii_norm, jaro_winkler, jaro_winkler_of, norm, words
+from goldenloom.functions.text import jaro_winkler, jaro_winkler_of, present, words
 from goldenloom.operators.components import components
-from goldenloom.rules import FUZZY_WEIGHTS_DEV
+from goldenloom.rules import FUZZY_WEIGHTS_DEV, TEXT_TWICE
 
 #: Rounding guard of prefix bounds.
 SLACK = 1e-9
+FUZZY, SEMANTIC = 0.65, 0.35
+
+
+def least_cosine(threshold: float) -> float:
+    """The cosine without which no pair reaches ``threshold``, whatever its fields; both scores are rounded to four places."""
+    return max((threshold - 0.00005 - FUZZY) / SEMANTIC - 0.00005, 0.0)
 
 
-def name_key() -> Column:
-    return F.regexp_replace(norm(F.coalesce(F.col("fields")["name"], F.col("fields")["full_name"])), r"^\p{Z}+|\p{Z}+$", "")
+def filled(fields: Column) -> Column:
+    """Entries with a value, by key."""
+    return F.array_sort(F.map_entries(F.map_filter(fields, lambda _, v: present(v))))
 
 
-def names(entities: DataFrame) -> DataFrame:
-    """Distinct normalised names of entities by type, with how many entities have each and the smallest id."""
-    rows = entities.select("entity_type", name_key().alias("name"), "entity_id").where("name <> ''")
-    return rows.groupBy("entity_type", "name").agg(F.count("*").alias("entities"), F.min("entity_id").alias("entity_id"))
+def text_terms(fields: Column) -> Column:
+    """Terms of an entity's text: every value once, those of some descriptive fields twice."""
+    own = filled(fields)
+    twice = F.filter(own, lambda e: e["key"].isin(*TEXT_TWICE))
+    return words(F.array_join(F.transform(F.concat(own, twice), lambda e: e["value"]), " "))
 
 
-def term_counts(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Term counts in long form, with the total per key."""
-    terms = rows.select(*key, F.explode(words(F.col(text))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    total = terms.groupBy(*key).agg(F.sum("tf").alias("total"))
-    return terms.join(total, key)
+def _profile_key() -> Column:
+    return F.sha2(F.to_json(F.struct(filled(F.col("fields")).alias("f"))), 256)
+
+
+def profiles(entities: DataFrame) -> DataFrame:
+    """entity_type, id, members, fields: one row for all entities of a type with the same filled fields."""
+    rows = entities.select("entity_type", "entity_id", "fields", _profile_key().alias("key"))
+    return rows.groupBy("entity_type", "key").agg(F.min("entity_id").alias("id"), F.count("*").alias("members"), F.min_by("fields", "entity_id").alias("fields"))
+
+
+def membership(entities: DataFrame) -> DataFrame:
+    """entity_id and the id of its profile."""
+    rows = entities.select("entity_type", "entity_id", _profile_key().alias("key"))
+    return rows.join(profiles(entities).select("entity_type", "key", "id"), ["entity_type", "key"]).select("entity_id", "id")
+
+
+def term_counts(rows: DataFrame, key: list[str], terms: str) -> DataFrame:
+    """Counts of the terms of an array column in long form, with the total per key."""
+    counts = rows.select(*key, F.explode(terms).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    total = counts.groupBy(*key).agg(F.sum("tf").alias("total"))
+    return counts.join(total, key)
 
 
 def cosine_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(entity_type, name_a, name_b, cosine) of all pairs of names with cosine of term counts >= threshold.
+    """(entity_type, id_a, id_b, cosine) of all pairs of (entity_type, id, terms) with cosine of term counts >= threshold.
 
-    Prefix filter: with terms ordered from rare to frequent, two names can only reach the threshold if they share
+    Prefix filter: with terms ordered from rare to frequent, two texts can only reach the threshold if they share
     a term of each one's shortest prefix whose remainder is lighter than the threshold; frequent terms join nothing.
     """
-    key = ["entity_type", "name"]
-    terms = term_counts(rows, key, "name").select(*key, "term", F.col("tf").cast("double").alias("tf"))
+    key = ["entity_type", "id"]
+    terms = rows.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count("*").cast("double").alias("tf"))
     df = terms.groupBy("entity_type", "term").agg(F.count("*").alias("df"))
     w = Window.partitionBy(*key)
     rest = w.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     terms = terms.join(df, ["entity_type", "term"]).withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w)))
     terms = terms.withColumn("rest", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(rest)) / F.col("norm"))
-    prefix = terms.where(F.col("rest") >= threshold - SLACK).select("entity_type", "term", "name")
-    a, b = (prefix.select("entity_type", "term", F.col("name").alias(f"name_{x}")) for x in "ab")
-    near = a.join(b, ["entity_type", "term"]).where("name_a < name_b").select("entity_type", "name_a", "name_b").distinct()
+    prefix = terms.where(F.col("rest") >= threshold - SLACK).select("entity_type", "term", "id")
+    a, b = (prefix.select("entity_type", "term", F.col("id").alias(f"id_{x}")) for x in "ab")
+    near = a.join(b, ["entity_type", "term"]).where("id_a < id_b").select("entity_type", "id_a", "id_b").distinct()
     vectors = terms.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("v"), F.first("norm").alias("norm"))
-    va = vectors.select("entity_type", F.col("name").alias("name_a"), F.col("v").alias("va"), F.col("norm").alias("na"))
-    vb = vectors.select("entity_type", F.col("name").alias("name_b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
+    va = vectors.select("entity_type", F.col("id").alias("id_a"), F.col("v").alias("va"), F.col("norm").alias("na"))
+    vb = vectors.select("entity_type", F.col("id").alias("id_b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
     dot = F.aggregate(F.map_values(F.map_zip_with("va", "vb", lambda k, x, y: F.coalesce(x * y, F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x)
-    pairs = near.join(va, ["entity_type", "name_a"]).join(vb, ["entity_type", "name_b"])
-    return pairs.select("entity_type", "name_a", "name_b", F.round(dot / (F.col("na") * F.col("nb")), 4).alias("cosine")).where(F.col("cosine") >= threshold)
-
+    pairs = near.join(va, ["entity_type", "id_a"]).join(vb, ["entity_type", "id_b"])
+    return pairs.select("entity_type", "id_a", "id_b", F.round(dot / (F.col("na") * F.col("nb")), 4).alias("cosine")).where(F.col("cosine") >= threshold)
 
-def pair_scores(pairs: DataFrame, fuzzy_weight: float = 0.65) -> DataFrame:
-    """Jaro-Winkler of the names beside the cosine, and the blend of both."""
-    jw = F.round(jaro_winkler(ascii_norm(F.col("name_a")), ascii_norm(F.col("name_b"))), 4)
-    scored = pairs.withColumn("fuzzy", jw)
-    return scored.withColumn("combined", F.round(fuzzy_weight * F.col("fuzzy") + (1 - fuzzy_weight) * F.col("cosine"), 4))
 
-
-def profiles(entities: DataFrame) -> DataFrame:
-    """Distinct (entity_type, name, values of the weighted fields) as ``id``, the smallest entity id, and the ids of all entities with them."""
-    values = F.array(*[F.coalesce(F.col("fields")[f], F.lit("")) for f in FUZZY_WEIGHTS_DEV])
-    rows = entities.select("entity_type", F.coalesce(name_key(), F.lit("")).alias("name"), values.alias("values"), "entity_id")
-    return rows.groupBy("entity_type", "name", "values").agg(F.min("entity_id").alias("id"), F.sort_array(F.collect_list("entity_id")).alias("entities"))
+def clean(v: str) -> str:
+    """Compatibility form, lower case, white space collapsed."""
+    return " ".join(unicodedata.normalize("NFKC", v).lower().split())
 
 
 def weighted_fields(a: Column, b: Column) -> Column:
-    """Mean Jaro-Winkler, by weight, of the fields that both have."""
-    import unicodedata
-
-    def clean(v: str) -> str:
-        return " ".join(unicodedata.normalize("NFKC", v).lower().split())
-
-    def one(x, y) -> float:
-        both = [(jaro_winkler_of(clean(v), clean(w)), k) for v, w, k in zip(x, y, FUZZY_WEIGHTS_DEV.values()) if v and w]
-        return sum(s * k for s, k in both) / sum(k for _, k in both) if both else 0.0
+    """Mean Jaro-Winkler, by weight, of the fields that both have; a and b are arrays in the order of FUZZY_WEIGHTS_DEV."""
+    weights = list(FUZZY_WEIGHTS_DEV.values())
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        norm: dict[str, str] = {}
+        seen: dict[tuple[str, str], float] = {}
+
+        def one(x, y) -> float:
+            total = got = 0.0
+            for v, w, k in zip(x, y, weights):
+                if v and w:
+                    if (s := seen.get((v, w))) is None:
+                        for t in (v, w):
+                            if t not in norm:
+                                norm[t] = clean(t)
+                        s = seen[v, w] = jaro_winkler_of(norm[v], norm[w])
+                    total, got = total + k, got + s * k
+            return got / total if total else 0.0
+
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return run(a, b)
 
 
-def entity_pair_scores(entities: DataFrame, fuzzy_weight: float = 0.65) -> DataFrame:
-    """Scores of pairs of profiles by all weighted fields.
+def text_pairs(entities: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of profiles whose texts have at least the cosine ``threshold``."""
+    return cosine_pairs(profiles(entities).select("entity_type", "id", text_terms(F.col("fields")).alias("terms")), threshold)
 
-    Pairs have names with a cosine that the threshold of 0.8 can reach, equal names, or an equal mail address, phone or tax number.
-    """
-    p = profiles(entities)
-    names = p.where("name <> ''").select("entity_type", "name").distinct()
-    a, b = (p.select("entity_type", F.col("name").alias(f"name_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
-    ids = [F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")]
-    near = cosine_pairs(names, 0.42).join(a, ["entity_type", "name_a"]).join(b, ["entity_type", "name_b"]).select(*ids)
-    same = [F.struct(F.lit("name").alias("field"), F.col("name").alias("value"))]
-    for i, f in enumerate(FUZZY_WEIGHTS_DEV):
-        if f in ("email", "contact_email", "phone", "tax_id"):
-            same.append(F.struct(F.lit(f).alias("field"), norm(F.col("values")[i]).alias("value")))
-    keyed = p.select("entity_type", "id", F.inline(F.array(*same))).where("value <> ''")
-    x, y = (keyed.select("entity_type", "field", "value", F.col("id").alias(f"id_{k}")) for k in "ab")
-    pairs = near.unionByName(x.join(y, ["entity_type", "field", "value"]).where("id_a < id_b").select(*ids)).distinct()
-    full = [p.select(F.col("id").alias(f"id_{k}"), F.struct("entity_type", "name", "values").alias(k)) for k in "ab"]
-    pairs = pairs.join(full[0], "id_a").join(full[1], "id_b")
-    scored = pairs.select(
-        F.col("a.entity_type").alias("entity_type"), "id_a", "id_b", weighted_fields("a.values", "b.values").alias("exact"),
-        F.round(F.coalesce(_cosine(F.col("a.name"), F.col("b.name")), F.lit(0.0)), 4).alias("cosine"),
-    )
-    return scored.select("entity_type", "id_a", "id_b", F.round("exact", 4).alias("fuzzy"), "cosine", F.round(fuzzy_weight * F.col("exact") + (1 - fuzzy_weight) * F.col("cosine"), 4).alias("combined"))
 
+def pair_scores(entities: DataFrame, threshold: float = 0.80) -> DataFrame:
+    """(entity_type, id_a, id_b, fuzzy, cosine, combined) of all pairs of profiles that can reach ``threshold``."""
+    values = F.array(*[F.coalesce(F.col("fields")[f], F.lit("")) for f in FUZZY_WEIGHTS_DEV])
+    a, b = (profiles(entities).select(F.col("id").alias(f"id_{x}"), values.alias(f"values_{x}")) for x in "ab")
+    pairs = text_pairs(entities, least_cosine(threshold)).join(a, "id_a").join(b, "id_b")
+    scored = pairs.select("entity_type", "id_a", "id_b", "cosine", weighted_fields(F.col("values_a"), F.col("values_b")).alias("exact"))
+    return scored.select("entity_type", "id_a", "id_b", F.round("exact", 4).alias("fuzzy"), "cosine", F.round(FUZZY * F.col("exact") + SEMANTIC * F.col("cosine"), 4).alias("combined"))
 
-def _cosine(a: Column, b: Column) -> Column:
-    """Cosine of the term counts of two texts, null if one has no terms."""
-    x, y = words(a), words(b)
 
-    def dot(p, q):
-        return F.aggregate(p, F.lit(0.0), lambda s, t: s + F.size(F.filter(q, lambda u: u == t)))
+def clusters(entities: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """cluster, members, max_score, min_score of entities connected by scores at or above the threshold.
 
-    return F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
+    Entities of one profile are connected by the score 1 if it has a term and a weighted field; ``members`` counts entities.
+    """
+    kept = scored.where(F.col("combined") >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "combined")
+    p = profiles(entities)
+    able = F.exists(F.array(*[F.coalesce(F.col("fields")[f], F.lit("")) for f in FUZZY_WEIGHTS_DEV]), lambda v: v != "") & (F.size(text_terms(F.col("fields"))) > 0)
+    sizes = p.select("id", F.when(able, F.col("members")).otherwise(F.lit(1)).alias("n"))
+    of = components(kept.select("a", "b"))
+    inside = sizes.join(of, "id", "left").where("component IS NOT NULL OR n > 1").select(F.coalesce("component", "id").alias("cluster"), "n")
+    members = inside.groupBy("cluster").agg(F.sum("n").alias("members"), F.max((F.col("n") > 1).cast("int")).alias("copies"))
+    best = kept.join(of.select(F.col("id").alias("a"), "component"), "a").groupBy(F.col("component").alias("cluster")).agg(
+        F.max("combined").alias("high"), F.min("combined").alias("low")
+    )
+    high = F.when(F.col("copies") == 1, 1.0).otherwise(F.col("high"))
+    return members.join(best, "cluster", "left").select("cluster", "members", high.alias("max_score"), F.coalesce("low", F.lit(1.0)).alias("min_score"))
 
 
-def entity_clusters(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(entity_id, cluster) of all entities that are connected by scores at or above the threshold; those of one profile are, if its name has terms."""
-    p = profiles(entities)
-    far = entity_pair_scores(entities).where(F.col("combined") >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    own = p.where(F.size(words(F.col("name"))) > 0).select(F.col("id").alias("a"), F.explode("entities").alias("b")).where("a <> b")
-    return components(far.unionByName(own)).select(F.col("id").alias("entity_id"), F.col("component").alias("cluster"))
+def duplicates_of(scored: DataFrame, ids: DataFrame, threshold: float = 0.75, k: int | None = None) -> DataFrame:
+    """The profiles that score at least ``threshold`` against each asked one (column id), best first, as ``rank``."""
+    one = scored.select(F.col("id_a").alias("id"), F.col("id_b").alias("candidate"), "fuzzy", "cosine", "combined")
+    two = scored.select(F.col("id_b").alias("id"), F.col("id_a").alias("candidate"), "fuzzy", "cosine", "combined")
+    found = one.unionByName(two).join(ids.select("id").distinct(), "id", "left_semi").where(F.col("combined") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("combined"), "candidate"))
+    found = found.withColumn("rank", rank)
+    return found.where(F.col("rank") <= k) if k else found
 
 
 def band(c: Column) -> Column:
@@ -147,30 +176,44 @@ def confidence(fuzzy: Column, semantic: Column, matching: Column, same_source: C
     return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)), 4)
 
 
-def clusters(scored: DataFrame, threshold: float) -> DataFrame:
-    """Connected names of pairs at or above the threshold: cluster, size, highest and lowest score."""
-    kept = scored.where(F.col("combined") >= threshold).select(
-        F.concat_ws("|", "entity_type", "name_a").alias("a"), F.concat_ws("|", "entity_type", "name_b").alias("b"), "combined"
-    )
-    of = components(kept)
-    sizes = of.groupBy("component").agg(F.count("*").alias("members"))
-    best = kept.join(of.withColumnRenamed("id", "a"), "a").groupBy("component").agg(F.max("combined").alias("max_score"), F.min("combined").alias("min_score"))
-    return sizes.join(best, "component").select(F.col("component").alias("cluster"), "members", "max_score", "min_score")
-
-
-def search(rows: DataFrame, queries: list[str], k: int = 5, floor: float = 0.05) -> DataFrame:
-    """The k names nearest to each query by cosine of term counts; the few query terms are broadcast."""
+def search(rows: DataFrame, queries: list[str], k: int | None = 5, floor: float = 0.05) -> DataFrame:
+    """The k entities (entity_id, terms) nearest to each query by cosine of term counts, or all above the floor; the few query terms are broadcast."""
     spark = rows.sparkSession
-    q = term_counts(spark.createDataFrame([(x,) for x in queries], "query string"), ["query"], "query")
+    asked = spark.createDataFrame([(x,) for x in queries], "query string").withColumn("terms", words(F.col("query")))
+    q = term_counts(asked, ["query"], "terms")
     qn = q.groupBy("query").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("qnorm"))
-    terms = term_counts(rows, ["entity_id", "name"], "name")
+    terms = term_counts(rows, ["entity_id"], "terms")
     norms = terms.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    hits = terms.join(F.broadcast(q.select("query", "term", F.col("tf").alias("qtf"))), "term").groupBy("query", "entity_id", "name").agg(
+    hits = terms.join(F.broadcast(q.select("query", "term", F.col("tf").alias("qtf"))), "term").groupBy("query", "entity_id").agg(
         F.sum(F.col("tf") * F.col("qtf")).alias("dot")
     )
     out = hits.join(norms, "entity_id").join(F.broadcast(qn), "query")
-    out = out.select("query", "entity_id", "name", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 4).alias("score")).where(F.col("score") > floor)
-    return top_k(out, ["query"], [F.desc("score"), F.col("entity_id")], k)
+    out = out.select("query", "entity_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 4).alias("score")).where(F.col("score") > floor)
+    return top_k(out, ["query"], [F.desc("score"), F.col("entity_id")], k) if k else out
+
+
+def hybrid_search(entities: DataFrame, queries: list[str], k: int = 10) -> DataFrame:
+    """query, entity_id, score, method: a field that holds the query scores 1, a name near to it .85, else the cosine of the texts counts."""
+    asked = [clean(q) for q in queries]
+    own = F.transform(F.map_entries(F.map_filter("fields", lambda _, v: present(v))), lambda e: F.lower(F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"'))))
+    rows = entities.select("entity_id", own.alias("own"), F.coalesce(F.col("fields")["name"], F.lit("")).alias("name"), text_terms(F.col("fields")).alias("terms"))
+    each = rows.select("entity_id", "own", "name", F.explode(F.array(*[F.lit(q) for q in asked])).alias("query"))
+    exact = F.exists("own", lambda v: F.contains(v, F.col("query")))
+    sure = each.where(exact).select("query", "entity_id", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
+    near = each.where(~exact & (F.col("name") != "")).where(jaro_winkler(cleaned(F.col("name")), F.col("query")) > 0.75)
+    near = near.select("query", "entity_id", F.lit(0.85).alias("score"), F.lit("fuzzy").alias("method"))
+    far = search(rows, asked, None).select("query", "entity_id", "score", F.lit("semantic").alias("method"))
+    first = F.min_by(F.struct("score", "method"), F.when(F.col("method") == "exact", 0).when(F.col("method") == "fuzzy", 1).otherwise(2))
+    best = sure.unionByName(near).unionByName(far).groupBy("query", "entity_id").agg(first.alias("s")).select("query", "entity_id", "s.*")
+    return top_k(best, ["query"], [F.desc("score"), F.col("entity_id")], k)
+
+
+def cleaned(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else clean(x))
+
+    return run(c)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from goldenloom import rules
-from goldenloom.delivery import risk, scan
+from goldenloom.delivery import scan
 from goldenloom.delivery import telemetry as M
 from goldenloom.operators import analytics as A
 from goldenloom.operators import entities as E
@@ -56,18 +56,6 @@ def _integrity(s, d):
     return out
 
 
-def _risk(s, d):
-    f = scan.line_findings(table(s, d, "documents"))
-    r = risk.finding_risk(f, "doc_id")
-    total = risk.total(F.lit(80.0), F.col("finding_risk"), F.lit(10.0), F.lit(20.0), risk.blast(F.lit(2.0), F.lit(1000)))
-    return r.select("doc_id", "findings", "finding_risk", F.round(total, 4).alias("score")).withColumn("level", risk.level(F.col("score"))).withColumn("decision", risk.decision(F.col("score")))
-
-
-def _history(s, d):
-    runs = table(s, d, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
-    return risk.recent_history(runs, "user_id", ["ts", "event_id"])
-
-
 QUERIES = {
     "graph_stats": lambda s, d: G.stats(_edges(s, d)),
     "graph_impact": lambda s, d: G.impact(_edges(s, d)),
@@ -83,13 +71,8 @@ QUERIES = {
     "topic_routing": _topics,
     "rate_limit_windows": lambda s, d: A.rate_windows(table(s, d, "events"), 1, "10 minutes"),
     "http_telemetry": lambda s, d: A.telemetry(table(s, d, "events")),
-    "sast_findings": lambda s, d: scan.line_findings(table(s, d, "documents")),
-    "sast_summary": lambda s, d: scan.finding_summary(scan.line_findings(table(s, d, "documents"))),
-    "secret_findings": lambda s, d: scan.secrets(table(s, d, "documents")),
-    "build_failure_class": lambda s, d: scan.build_failures(table(s, d, "documents")),
     "dependency_cves": lambda s, d: scan.advisories(_dependencies(s, d)),
-    "risk_scores": _risk,
-    "risk_history": _history,
+    
     "load_smoothing": lambda s, d: M.smoothed(M.hourly(table(s, d, "events"))),
     "scaling_forecast": lambda s, d: M.scaling(M.smoothed(M.hourly(table(s, d, "events")))),
     "right_sizing": lambda s, d: M.right_sizing(table(s, d, "events")),
@@ -101,12 +84,8 @@ _E = """e AS (SELECT DISTINCT source, target FROM (SELECT 'c' || c_custkey AS so
       UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e)"""
 _ME = """me AS (SELECT DISTINCT golden_record_id AS source, entity_id AS target FROM resolution_results WHERE action IN ('auto_merge', 'approved')
       AND golden_record_id IS NOT NULL AND entity_id IS NOT NULL AND golden_record_id <> entity_id)"""
-_LINES = "l AS (SELECT doc_id, line, content FROM (SELECT doc_id, unnest(x) AS content, generate_subscripts(x, 1) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS x FROM documents WHERE text IS NOT NULL)) WHERE NOT regexp_matches(ltrim(content), '^(#|//)'))"
-_FINDINGS = f"{_LINES}, f AS (" + " UNION ALL ".join(f"SELECT doc_id, line, '{n}' AS rule, '{s}' AS severity FROM l WHERE regexp_matches(lower(content), '{p.replace(chr(39), chr(39) * 2)}')" for n, s, p in scan.LINE_RULES) + ")"
-_SEV = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in risk.SEVERITY.items()) + " ELSE 15.0 END"
 _KIND = "CASE WHEN deleted_at IS NOT NULL THEN 'deleted' WHEN merged_into IS NOT NULL THEN 'merged' WHEN captured_at = born THEN 'created' ELSE 'updated' END"
 _INTENT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in keys) + f" THEN '{n}'" for n, keys in rules.INTENTS) + " ELSE 'overview' END"
-_FAIL = ["CASE " + " ".join(f"WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN " + (f"'{n}'" if i == 0 else f"regexp_extract(text, '{p.replace(chr(39), chr(39) * 2)}', 1)") for n, p in scan.FAILURES) + " END" for i in (0, 1)]
 _VER = "list_transform(string_split(regexp_replace({0}, '[^0-9.]', '', 'g'), '.')[1:4], lambda p: coalesce(TRY_CAST(p AS INT), 0))"
 _ADV = ", ".join(f"({i}, '{a[0]}', '{a[1]}', '{a[2]}', {a[3]}::DOUBLE, '{a[4]}')" for i, a in enumerate(rules.ADVISORIES))
 _TOPIC = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.TOPICS.items()) + " ELSE 'mdm.' || kind END"
@@ -141,19 +120,9 @@ ORACLES = {
       SELECT {_TOPIC} AS topic, count(*) AS events, count(DISTINCT user_id) AS keys FROM x GROUP BY 1""",
     "rate_limit_windows": "SELECT user_id, strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) > 1 AS limited FROM events GROUP BY 1, 2",
     "http_telemetry": """SELECT event_type, count(*) AS requests, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 4) AS share, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""",
-    "sast_findings": f"WITH {_FINDINGS} SELECT doc_id, CAST(line AS INT) AS line, rule, severity FROM f",
-    "sast_summary": f"WITH {_FINDINGS} SELECT severity, count(*) AS findings, count(DISTINCT rule) AS rules, count(DISTINCT doc_id) AS documents FROM f GROUP BY 1",
-    "secret_findings": f"WITH {_LINES} " + " UNION ALL ".join(f"SELECT doc_id, CAST(line AS INT) AS line, '{n}' AS secret_type FROM l WHERE regexp_matches(content, '{p}')" for n, p in scan.SECRET_RULES),
-    "build_failure_class": f"SELECT * FROM (SELECT doc_id, {_FAIL[0]} AS error_type, {_FAIL[1]} AS cause, 0.55::DOUBLE AS confidence FROM documents WHERE text IS NOT NULL) WHERE error_type IS NOT NULL",
     "dependency_cves": f"""WITH a(i, package, fixed, advisory, score, severity) AS (VALUES {_ADV}),
       dep AS (SELECT DISTINCT a.package, (p_size % 7) || '.' || (p_partkey % 40) || '.1' AS version FROM part JOIN a ON a.i = p_partkey % {len(rules.ADVISORIES)})
       SELECT package, version, advisory, score, severity FROM dep JOIN a USING (package) WHERE {_VER.format('version')} < {_VER.format('fixed')}""",
-    "risk_scores": f"""WITH {_FINDINGS}, r AS (SELECT doc_id, count(*) AS findings, round(least(100.0::DOUBLE, avg({_SEV}::DOUBLE) + least(30.0::DOUBLE, 3.0::DOUBLE * count(*))), 4) AS finding_risk FROM f GROUP BY 1),
-      t AS (SELECT *, round(least(100.0::DOUBLE, 0.20::DOUBLE * 80 + 0.30::DOUBLE * finding_risk + 0.20::DOUBLE * 10 + 0.15::DOUBLE * 20 + 0.15::DOUBLE * (20 + least(50.0::DOUBLE, log10(1000) * 15.0::DOUBLE))), 4) AS score FROM r)
-      SELECT *, CASE WHEN score <= 25 THEN 'LOW' WHEN score <= 50 THEN 'MEDIUM' WHEN score <= 70 THEN 'HIGH' WHEN score <= 85 THEN 'VERY_HIGH' ELSE 'CRITICAL' END AS level,
-      CASE WHEN score <= 30 THEN 'auto_deploy' WHEN score <= 65 THEN 'canary' WHEN score <= 85 THEN 'hold' ELSE 'block' END AS decision FROM t""",
-    "risk_history": """SELECT user_id, count(*) AS runs, round(least(100.0::DOUBLE, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 80.0::DOUBLE), 4) AS history_risk
-      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 10 GROUP BY 1""",
     "load_smoothing": f"WITH RECURSIVE {_SMOOTH} SELECT * FROM z",
     "scaling_forecast": f"""WITH RECURSIVE {_SMOOTH}, y AS (SELECT event_type, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, level + slope)), 4) AS load FROM z)
       SELECT event_type, load, CASE WHEN load > 0.70 THEN 'scale_up' WHEN load < 0.30 THEN 'scale_down' ELSE 'keep' END AS action,

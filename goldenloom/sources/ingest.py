@@ -28,10 +28,17 @@ def read_csv(spark: SparkSession, path: str, entity_type: str, source: str = "cs
 
 
 def read_json(spark: SparkSession, path: str, entity_type: str, source: str = "api_integration") -> DataFrame:
-    """Entities of JSON lines: ``fields`` as it is, else all but the id; the id where there is one."""
-    raw = spark.read.schema("id string, fields map<string,string>").json(path)
-    fields = F.map_filter("fields", lambda _, v: present(v))
-    return raw.select(F.coalesce("id", F.sha2(F.to_json("fields"), 256)).alias("entity_id"), F.lit(entity_type).alias("entity_type"), F.lit(source).alias("source"), fields.alias("fields"))
+    """Entities of JSON lines: ``fields`` where a record has them, else all but the id; the id where there is one, else a digest of the fields.
+
+    Lines are read as texts, so a record may have any keys; values that are no texts are kept as JSON. Lines that are no records are skipped.
+    """
+    raw = spark.read.text(path)
+    record = F.from_json("value", "map<string,string>")
+    inner = F.from_json(F.col("r")["fields"], "map<string,string>")
+    flat = F.map_filter("r", lambda k, v: k != "id")
+    rows = raw.select(record.alias("r")).where("r IS NOT NULL").select(F.col("r")["id"].alias("id"), F.map_filter(F.coalesce(inner, flat), lambda _, v: present(v)).alias("fields"))
+    digest = F.sha2(F.to_json(F.array_sort(F.map_entries("fields"))), 256)
+    return rows.select(F.coalesce("id", digest).alias("entity_id"), F.lit(entity_type).alias("entity_type"), F.lit(source).alias("source"), "fields").where(F.size("fields") > 0)
 
 
 def parse_events(raw: DataFrame, body: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -63,3 +70,11 @@ def write_events(stream: DataFrame, **options):
     """A keyed JSON stream for a Kafka sink, if its connector is on the class path."""
     body = stream.select(F.col("partition_key").alias("key"), F.to_json(F.struct("*")).alias("value"), "topic")
     return body.writeStream.format("kafka").options(**options)
+
+
+def pom_xml(manifests: DataFrame) -> DataFrame:
+    """path, package, version of the dependencies of project files."""
+    found = F.regexp_extract_all("content", F.lit(r"(?s)<artifactId>([^<]+)</artifactId>.*?<version>([^<]+)</version>"), F.lit(0))
+    rows = manifests.select("path", F.explode(found).alias("d"))
+    one = lambda tag: F.trim(F.regexp_extract("d", f"<{tag}>([^<]+)</{tag}>", 1))
+    return rows.select("path", F.lower(one("artifactId")).alias("package"), one("version").alias("version"))

@@ -5,9 +5,11 @@ import pytest
 from goldenloom import catalog
 from goldenloom.delivery import scan
 from goldenloom.functions import text as X
+from goldenloom.operators import changes as H
 from goldenloom.operators import components as C
 from goldenloom.operators import entities as E
 from goldenloom.operators import graph as G
+from goldenloom.operators import resolution as R
 from goldenloom.operators import similarity as S
 from goldenloom.operators import survivorship as V
 from goldenloom.sources import ingest
@@ -49,17 +51,17 @@ def test_components_match_union_find(spark):
 
 def test_cosine_prefix_filter_loses_nothing(spark):
     rng = random.Random(2)
-    names = {" ".join(rng.choices(["bolt", "valve", "steel", "ring", "pump", "red", "blue", "hall"], k=rng.randint(1, 4))) for _ in range(60)}
-    rows = spark.createDataFrame([("product", n) for n in names], "entity_type string, name string")
-    got = {(r["name_a"], r["name_b"]) for r in S.cosine_pairs(rows, 0.6).collect()}
+    texts = [rng.choices(["bolt", "valve", "steel", "ring", "pump", "red", "blue", "hall"], k=rng.randint(1, 4)) for _ in range(60)] + [[]]
+    rows = spark.createDataFrame([("product", f"{i:02}", t) for i, t in enumerate(texts)], "entity_type string, id string, terms array<string>")
+    got = {(r["id_a"], r["id_b"]) for r in S.cosine_pairs(rows, 0.6).collect()}
 
     def cos(a, b):
         from collections import Counter
 
-        x, y = Counter(a.split()), Counter(b.split())
-        return sum(x[t] * y[t] for t in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+        x, y = Counter(a), Counter(b)
+        return sum(x[t] * y[t] for t in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5 if a and b else 0
 
-    assert got == {(a, b) for a in names for b in names if a < b and round(cos(a, b), 4) >= 0.6}
+    assert got == {(f"{i:02}", f"{j:02}") for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and round(cos(a, b), 4) >= 0.6}
 
 
 def test_vector_blocks_agree_with_one_block(spark):
@@ -120,28 +122,109 @@ def test_streaming_deduplicates_and_counts(spark, tmp_path):
     assert spark.table("rates").selectExpr("sum(requests)").first()[0] == 40 and spark.table("rates").where("limited").count() > 0
 
 
-def test_names_of_every_type_are_paired(spark):
-    from goldenloom.plans import meaning
+def entities(spark, rows):
+    cols = "entity_type string, entity_id string, fields map<string,string>, status string, source string, tags array<string>, version int, term string, id string"
+    return spark.createDataFrame([(k, i, f, "active", "api", ["a"], 1, "clash", "clash") for k, i, f in rows], cols)
 
+
+def test_equal_and_foreign_names_of_every_type_are_linked(spark):
     kinds = ("customer", "supplier", "employee", "product", "asset", "location")
-    rows = [(k, f"{k}{i}", {"full_name" if k == "employee" else "name": n}) for k in kinds for i, n in enumerate(("Kelvor Glass Works", "kelvor  glass works ltd"))]
-    cur = spark.createDataFrame(rows, "entity_type string, entity_id string, fields map<string,string>")
-    names, was = S.names(cur), meaning._cur
-    assert {(r["entity_type"], r["name_a"]) for r in S.cosine_pairs(names, 0.5).collect()} == {(k, "kelvor glass works") for k in kinds}
-    assert {r["entity_id"] for r in S.search(names, ["kelvor"], k=99).collect()} == {i for _, i, _ in rows}
-    meaning._cur = lambda s, d: cur
-    try:
-        assert {r["entity_type"] for r in meaning._names(spark, "").collect()} == {*kinds}
-        assert {r["cluster"].split("|")[0] for r in meaning.QUERIES["dup_clusters"](spark, "").collect()} == {*kinds}
-    finally:
-        meaning._cur = was
-
-
-def test_all_weighted_fields_decide(spark):
-    party = {"name": "Kelvor Glass Works", "email": "info@kelvor.example", "phone": "2125550001", "tax_id": "123456780"}
-    rows = [("c1", party), ("c2", party | {"name": "Kelvor Glass Wroks"}), ("c3", party), ("c4", party | {"email": "z", "phone": "9", "tax_id": "9"}), ("c5", {"name": "Zebra", "tax_id": "123456780"})]
-    cur = spark.createDataFrame([("customer", i, f) for i, f in rows], "entity_type string, entity_id string, fields map<string,string>")
-    got = {(r["id_a"], r["id_b"]): (r["fuzzy"], r["combined"]) for r in S.entity_pair_scores(cur).collect()}
-    name = X.jaro_winkler_of("kelvor glass works", "kelvor glass wroks")
-    assert got["c1", "c2"][0] == round((name * 0.3 + 0.57) / 0.87, 4) and got["c1", "c4"][1] < 0.8 and got["c1", "c5"][0] < 0.8 and ("c1", "c3") not in got
-    assert {r["entity_id"]: r["cluster"] for r in S.entity_clusters(cur).collect()} == {"c1": "c1", "c2": "c1", "c3": "c1"}
+    party = {"name": "Zürich Größe Werke", "email": "info@zuerich.example", "city": "Zürich"}
+    rows = [(k, f"{k}{i}", f) for k in kinds for i, f in enumerate((party, party, party | {"name": "ＺÜRICH Grösse  Werke"}, {"name": "東京製作所"}))]
+    cur = entities(spark, rows)
+    scored = S.pair_scores(cur)
+    got = {(r["id_a"], r["id_b"]): r["fuzzy"] for r in scored.collect()}
+    same = X.jaro_winkler_of("zürich größe werke", "zürich grösse werke")
+    assert got == {(f"{k}0", f"{k}2"): round((0.3 * same + 0.3) / 0.6, 4) for k in kinds}
+    clusters = {r["cluster"]: (r["members"], r["max_score"]) for r in S.clusters(cur, scored, 0.8).collect()}
+    assert clusters == {f"{k}0": (3, 1.0) for k in kinds}
+    assert {r["entity_id"]: r["id"] for r in S.membership(cur).collect()}["customer1"] == "customer0"
+    assert S.clusters(cur.limit(0), S.pair_scores(cur.limit(0)), 0.8).count() == 0
+
+
+def test_scores_that_tokens_cannot_reach_are_the_only_ones_left_out():
+    assert round(0.65 * 1.0 + 0.35 * S.least_cosine(0.8), 4) <= 0.8 and S.least_cosine(0.8) > 0.428
+
+
+def test_duplicates_and_queue(spark):
+    scored = spark.createDataFrame([("a", "b", 0.9, 0.9, 0.97), ("b", "c", 0.9, 0.9, 0.96), ("c", "d", 0.8, 0.8, 0.85), ("x", "y", 0.9, 0.9, 0.97)], "id_a string, id_b string, fuzzy double, cosine double, combined double")
+    asked = spark.createDataFrame([("b",)], "id string")
+    assert [(r["candidate"], r["rank"]) for r in S.duplicates_of(scored, asked).orderBy("rank").collect()] == [("a", 1), ("c", 2)]
+    assert {(r["id_a"], r["id_b"]) for r in R.auto_merges(scored).collect()} == {("a", "b"), ("x", "y")}
+    items = R.queue(scored)
+    assert [(r["id_a"], r["status"]) for r in items.collect()] == [("c", "pending")]
+    item = items.first()["queue_id"]
+    known = spark.createDataFrame([("c",), ("d",)], "entity_id string")
+    for decision, ids, status, reason in (((item, True, None), known, "approved", None), ((item, True, None), known.limit(1), "failed", None), ((item, False, None), known, "rejected", "Manual rejection")):
+        row = R.decided(items, spark.createDataFrame([decision], "queue_id string, approve boolean, reason string"), ids).first()
+        assert (row["status"], row["reason"]) == (status, reason)
+
+
+@pytest.mark.parametrize("a,b,strategy,score", [
+    (None, None, "jaro_winkler", None), ("x", None, "jaro_winkler", 0.0), (" ＡB ", "ab", "exact_normalized", 1.0), ("+1 (212) 555-0001", "2125550001", "phone_normalized", 1.0), ("-", "2125550001", "phone_normalized", 0.0),
+    ("b a", "a b", "token_sort", 1.0), ("12 oak street", "oak street 12 zone", "token_partial", 1.0), ("Robert", "Rupert", "phonetic", 1.0), ("Robert", "Rita", "phonetic", 0.5), ("ab", "ab", "else", 1.0),
+])
+def test_field_strategies(a, b, strategy, score):
+    assert R.match_field(a, b, strategy) == score
+
+
+def test_pairs_by_field_strategies(spark):
+    rows = [("1", "2", {"name": "Acme Corp", "email": "A@x.org", "phone": "1-2"}, {"name": "Acme Corp", "email": "a@x.org"}), ("1", "3", {}, {"x": ""})]
+    df = spark.createDataFrame(rows, "id_a string, id_b string, a map<string,string>, b map<string,string>")
+    got = {r["id_b"]: r for r in R.score_pairs(df).collect()}
+    assert got["2"]["fuzzy"] == round((0.30 + 0.15) / 0.65, 4) and sorted(got["2"]["fields"]) == ["email", "name"] and got["2"]["recommendation"] == "review"
+    assert got["3"]["fuzzy"] == 0.0 and got["3"]["recommendation"] == "reject" and got["3"]["decision"] is None
+
+
+def test_resolve_against_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["acme north works", "acme north work", "acme nroth works", "zebra hall", "zebra halls", "lone star"]
+    rows = [("customer", f"c{i}", {"name": n, "email": f"{n[:4].strip()}@x.org", "city": rng.choice(["Rome", "Oslo"])}) for i, n in enumerate(names)]
+    cur = entities(spark, rows)
+    got = {(r["entity_id"], r["candidate"]): r["confidence"] for r in R.resolve(cur).collect()}
+    pairs = spark.createDataFrame([(i, j, f, g) for _, i, f in rows for _, j, g in rows if i != j], "id_a string, id_b string, a map<string,string>, b map<string,string>")
+    want = {(r["id_a"], r["id_b"]): r["final"] for r in R.score_pairs(pairs).where("final >= 0.75").collect()}
+    assert want and got == want
+    golden = {r["entity_id"]: (r["golden_record_id"], r["is_new"]) for r in R.golden_ids(cur, R.resolve(cur)).collect()}
+    assert set(golden) == {f"c{i}" for i in range(6)} and golden["c5"] == ("c5", True)
+
+
+def test_updates_merges_and_masks(spark):
+    import datetime as dt
+
+    cur = entities(spark, [("customer", "a", {"name": "A", "email": ""}), ("customer", "b", {"name": "B", "email": "b@x.org", "phone": "1"})])
+    changes = spark.createDataFrame([("a", {"name": "", "city": "Rome"}, dt.datetime(2025, 1, 1))], "entity_id string, changed map<string,string>, at timestamp")
+    new, audit = H.updated(cur, changes)
+    assert new.first()["fields"] == {"name": "", "email": "", "city": "Rome"} and new.first()["version"] == 2 and audit.first()["before"] == {"name": "A", "email": ""}
+    trust = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "entity_id string, overall double")
+    pairs = spark.createDataFrame([("a", "b")], "id_a string, id_b string")
+    one, two = H.merged(pairs, cur, trust).first(), H.merged(pairs, cur).first()
+    assert one["fields"]["name"] == "B" and one["tags"] == ["a"] and two["fields"] == {"name": "A", "email": "b@x.org", "phone": "1"} and two["tags"] == []
+    masked, log = H.remediated(cur, spark.createDataFrame([("b", "pii", "email"), ("a", "trust", "")], "entity_id string, kind string, field string"))
+    assert masked.first()["fields"]["email"] == H.MASK and {r["action"] for r in log.collect()} == {"pii_masked", "flagged_for_enrichment"}
+
+
+@pytest.mark.parametrize("line,rule,severity", [
+    ('cursor.execute("SELECT " + x)', "V001", "CRITICAL"), ('os.system("ls " + x)', "V002", "CRITICAL"), ("x.innerHTML = y", "V003", "HIGH"), ("open(a + b)", "V004", "HIGH"), ("requests.get(request.args)", "V005", "HIGH"),
+    ("pickle.loads(x)", "V006", "CRITICAL"), ("hashlib.md5(x)", "V007", "HIGH"), ('SECRET_KEY = "abcdefgh1"', "V008", "HIGH"), ("redirect(request.args)", "V009", "MEDIUM"), ("etree.parse(x)", "V010", "HIGH"),
+    ('re.compile("(a+)+")', "V011", "MEDIUM"), ("DEBUG = True", "V012", "MEDIUM"),
+])
+def test_code_rules(spark, line, rule, severity):
+    files = spark.createDataFrame([("f", f"# {line}\nx = 1\n{line}", "python"), ("g", line, "cobol"), ("h", None, "python")], "path string, content string, language string")
+    assert [(r["path"], r["line"], r["rule_id"], r["severity"]) for r in scan.code_findings(files).collect()] == [("f", 3, rule, severity)]
+
+
+def test_config_rules_and_fixes(spark):
+    docker = "FROM a:latest\nRUN pip install x\nCMD run"
+    files = spark.createDataFrame([("d", docker), ("h", "replicaCount: 1"), ("e", "")], "path string, content string")
+    got = {(r["path"], r["rule_id"], r["line"]) for r in scan.config_findings(files).collect()}
+    assert {x for x in got if x[0] == "d"} == {("d", "D001", 1), ("d", "D003", 0), ("d", "D006", 0), ("d", "D010", 2)}
+    assert {x[1] for x in got if x[0] == "h"} == {"H001", "H003", "H005", "H006", "H007"} and {x[1] for x in got if x[0] == "e"} == {"D003", "D006", "C003", "H001", "H003", "H005", "H006"}
+    fixed = {r["path"]: r["content"] for r in scan.fixed_dockerfiles(files).collect()}
+    assert fixed["d"] == "FROM a:stable\nRUN pip install x\nUSER nonroot\nCMD run"
+
+
+def test_flat_json_keeps_its_fields(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "y", "name": "N", "x": "", "n": 3}\n{"fields": {"name": "M"}}\n')
+    rows = {r["fields"].get("name"): (r["entity_id"], r["fields"]) for r in ingest.read_json(spark, str(tmp_path / "a.json"), "customer").collect()}
+    assert rows["N"] == ("y", {"name": "N", "n": "3"}) and rows["M"][1] == {"name": "M"}
