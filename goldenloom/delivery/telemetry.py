@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from goldenloom.operators.analytics import exact_percentiles
+
 
 def hourly(events: DataFrame) -> DataFrame:
     """Mean value per event type and hour, scaled to 0..1 by 100."""
@@ -28,12 +30,13 @@ def multiplier(hour: Column, weekday: Column) -> Column:
     )
 
 
-def scaling(levels: DataFrame, replicas: int = 4, most: int = 20, least: int = 1, factor: float = 1.0) -> DataFrame:
-    """Forecast load and the replicas it asks for."""
-    load = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("level") + F.col("slope")) * factor)
+def scaling(levels: DataFrame, at: str, ahead: int = 30, replicas: int = 4, most: int = 20, least: int = 1) -> DataFrame:
+    """Load that is forecast for ``ahead`` minutes after ``at``, by the profile of that hour, and the replicas it asks for; less than three points say nothing."""
+    then = F.lit(at).cast("timestamp") + F.make_interval(mins=F.lit(ahead))
+    load = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("level") + F.col("slope")) * multiplier(F.hour(then), F.weekday(then)))
     up = F.least(F.lit(most), F.ceil(replicas * F.col("load") / 0.70)).cast("int")
     down = F.greatest(F.lit(least), F.floor(F.lit(0.6 * replicas))).cast("int")
-    out = levels.select("event_type", F.round(load, 4).alias("load"))
+    out = levels.where("points >= 3").select("event_type", F.round(load, 4).alias("load"))
     wanted = F.when(F.col("load") > 0.70, up).when((F.col("load") < 0.30) & F.lit(replicas > least), down).otherwise(replicas)
     action = F.when(F.col("load") > 0.70, "scale_up").when((F.col("load") < 0.30) & F.lit(replicas > least), "scale_down").otherwise("keep")
     return out.select("event_type", "load", action.alias("action"), wanted.cast("int").alias("replicas"))
@@ -41,8 +44,9 @@ def scaling(levels: DataFrame, replicas: int = 4, most: int = 20, least: int = 1
 
 def right_sizing(events: DataFrame) -> DataFrame:
     """Requests and limits per user from exact percentiles."""
-    p = events.groupBy("user_id").agg(F.count("*").alias("samples"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
-    return p.select("user_id", "samples", F.round(F.col("p")[0] * 1.1, 4).alias("request"), F.round(F.col("p")[1] * 1.3, 4).alias("limit"), F.round(F.col("p")[2] * 1.5, 4).alias("peak"))
+    n = events.groupBy("user_id").agg(F.count("*").alias("samples"))
+    p = exact_percentiles(events, "user_id", "value", (0.5, 0.95, 0.99))
+    return n.join(p, "user_id", "left").select("user_id", "samples", F.round(F.col("p0") * 1.1, 4).alias("request"), F.round(F.col("p1") * 1.3, 4).alias("limit"), F.round(F.col("p2") * 1.5, 4).alias("peak"))
 
 
 def variation(events: DataFrame) -> DataFrame:

@@ -75,10 +75,38 @@ def violations(entities: DataFrame, trust: DataFrame) -> DataFrame:
 def apply_policies(entities: DataFrame, policies: DataFrame) -> DataFrame:
     """Entities by the active policies that apply to them and the required fields they lack.
 
-    policies: policy_id, applies_to ARRAY<STRING> (empty: all types), required_fields ARRAY<STRING>, is_active.
-    The registry is a fixed small table, so it is broadcast.
+    policies: policy_id, applies_to ARRAY<STRING> (empty: all types), required_fields ARRAY<STRING>, is_active. A policy stands once for every type
+    that it applies to, so entities meet their policies by an equi-join, whatever the size of the registry.
     """
-    p = F.broadcast(policies.where("is_active"))
-    fits = (F.size("applies_to") == 0) | F.array_contains("applies_to", F.col("entity_type"))
+    active = policies.where("is_active AND size(required_fields) > 0").select("policy_id", "applies_to", "required_fields")
+    typed = active.select("policy_id", "required_fields", F.explode("applies_to").alias("entity_type"))
+    kinds = entities.select("entity_type").distinct().withColumn("one", F.lit(1))
+    general = active.where("size(applies_to) = 0").withColumn("one", F.lit(1)).join(kinds, "one").select("policy_id", "required_fields", "entity_type")
     lacks = F.filter("required_fields", lambda f: ~present(F.col("fields")[f]))
-    return entities.join(p, fits).select("entity_id", "policy_id", F.explode(lacks).alias("field"))
+    rows = entities.select("entity_id", "entity_type", "fields").join(typed.unionByName(general).distinct(), "entity_type")
+    return rows.select("entity_id", "policy_id", F.explode(lacks).alias("field"))
+
+
+def pii_policies(detections: DataFrame, entities: DataFrame, policies: DataFrame) -> DataFrame:
+    """entity_id, policy_id, field, severity of detections (entity_id, field, pii_type) that an active policy wants masked, by field or by kind.
+
+    policies: policy_id, applies_to, mask_fields ARRAY<STRING>, severity, is_active.
+    """
+    active = policies.where("is_active").select("policy_id", "applies_to", "severity", F.explode("mask_fields").alias("mask"))
+    rows = detections.join(entities.select("entity_id", "entity_type"), "entity_id").select("entity_id", "entity_type", "field", F.explode(F.array_distinct(F.array("field", "pii_type"))).alias("mask"))
+    hit = rows.join(active, "mask").where("size(applies_to) = 0 OR array_contains(applies_to, entity_type)")
+    return hit.select("entity_id", "policy_id", "field", "severity").distinct()
+
+
+def registry(spark, profile: str) -> DataFrame:
+    """The seeded policies of a profile."""
+    if profile == "dev":
+        return spark.createDataFrame(list(rules.POLICIES_DEV), "policy_id string, name string, kind string, severity string")
+    rows = [(n, k, list(a), list(r), list(m), sev, True) for n, k, a, r, m, sev in rules.POLICIES_SERVICE]
+    return spark.createDataFrame(rows, "policy_id string, kind string, applies_to array<string>, required_fields array<string>, mask_fields array<string>, severity string, is_active boolean")
+
+
+def with_policies(found: DataFrame, policies: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Violations beside the name of the policy that their kind breaks, where there is one."""
+    of = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return found.withColumn("policy_id", of[F.col("kind")]).join(policies.select("policy_id", F.col("name").alias("policy")), "policy_id", "left")

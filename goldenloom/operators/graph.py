@@ -79,3 +79,76 @@ def stats(edges: DataFrame) -> DataFrame:
 def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Idempotent union: an edge exists once."""
     return edges.unionByName(new).dropDuplicates(["source", "target", "type"])
+
+
+def subgraph(edges: DataFrame, near: DataFrame, types: tuple[str, ...] = ()) -> DataFrame:
+    """seed, source, target, type of the edges between nodes of a seed's neighbourhood (seed, node); of the given types, if there are any."""
+    kept = edges.where(F.col("type").isin(*types)) if types else edges
+    a, b = near.select("seed", F.col("node").alias("source")), near.select("seed", F.col("node").alias("target"))
+    return kept.join(a, "source").join(b, ["seed", "target"]).select("seed", "source", "target", "type")
+
+
+def typed_neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, types: tuple[str, ...]) -> DataFrame:
+    """As ``neighborhood``, but only edges of the types are walked along."""
+    return neighborhood(edges.where(F.col("type").isin(*types)), seeds, depth)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFrame:
+    """source, target, hops, path of each pair: of the shortest paths the one whose nodes are smallest from the target back.
+
+    One frontier join a hop; a node keeps its least predecessor of each source, so no path is carried along while searching, and the paths of the
+    asked pairs are read back from their targets.
+    """
+    scratch = Scratch(edges.sparkSession, "paths")
+    step = _undirected(edges)
+    seen = scratch.save(pairs.select(F.col("source").alias("seed"), F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("before")).distinct(), "0")
+    for hop in range(1, max_hops + 1):
+        front = seen.where(F.col("hops") == hop - 1).join(step, F.col("node") == F.col("source"))
+        new = front.groupBy("seed", F.col("target").alias("to")).agg(F.min("node").alias("before")).withColumnRenamed("to", "node")
+        new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).alias("hops"), "before")
+        seen = scratch.save(seen.unionByName(new), str(hop))
+        scratch.drop(str(hop - 1))
+    back = pairs.select(F.col("source").alias("seed"), "target").distinct().join(seen.withColumnRenamed("node", "target"), ["seed", "target"])
+    back = back.select("seed", "target", "hops", F.array("target").alias("path"), F.col("before").alias("at"))
+    for hop in range(max_hops):
+        prior = seen.select("seed", F.col("node").alias("at"), F.col("before").alias("next"))
+        back = back.join(prior, ["seed", "at"], "left").select("seed", "target", "hops", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat(F.array("at"), "path")).alias("path"), F.col("next").alias("at"))
+    return back.select(F.col("seed").alias("source"), "target", "hops", F.array_join("path", ">").alias("path"))
+
+
+def inbound(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, types: tuple[str, ...] = ("DERIVED_FROM", "SOURCED_FROM")) -> DataFrame:
+    """node, dependents: distinct nodes that lead to each seed (node) along edges of the types within the hops."""
+    scratch = Scratch(edges.sparkSession, "inbound")
+    step = edges.where(F.col("type").isin(*types)).select("source", "target").distinct()
+    seen = scratch.save(seeds.select("node", F.col("node").alias("at"), F.lit(0).alias("hops")).distinct(), "0")
+    for hop in range(1, max_hops + 1):
+        front = seen.where(F.col("hops") == hop - 1).join(step, F.col("at") == F.col("target")).select("node", F.col("source").alias("at")).distinct()
+        new = scratch.save(front.join(seen.select("node", "at"), ["node", "at"], "left_anti").withColumn("hops", F.lit(hop)), f"new{hop}")
+        if new.isEmpty():
+            break
+        seen = scratch.save(seen.unionByName(new), str(hop))
+    return seen.groupBy("node").agg(F.count_if(F.col("hops") > 0).alias("dependents"))
+
+
+def nodes(entities: DataFrame) -> DataFrame:
+    """id, label, name of the entities as nodes."""
+    name = F.coalesce(F.col("fields")["name"], F.col("fields")["full_name"], F.substring("entity_id", 1, 8))
+    return entities.select(F.col("entity_id").alias("id"), F.initcap("entity_type").alias("label"), name.alias("name"))
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes by id; a new one replaces."""
+    return old.join(new.select("id"), "id", "left_anti").unionByName(new.dropDuplicates(["id"]))
+
+
+def broken_constraints(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
+    """rule, broken: ids that occur twice, edges without an end, edges that occur twice."""
+    twice = lambda df, *by: df.groupBy(*by).count().where("count > 1")
+    known = nodes_.select("id").distinct()
+    loose = edges.join(known.withColumnRenamed("id", "source"), "source", "left_anti").unionByName(edges.join(known.withColumnRenamed("id", "target"), "target", "left_anti").select(*edges.columns))
+    rows = (("node_id_unique", twice(nodes_, "id")), ("edge_ends_known", loose.distinct()), ("edge_unique", twice(edges, "source", "target", "type")))
+    out = None
+    for name, df in rows:
+        one = df.agg(F.lit(name).alias("rule"), F.count("*").alias("broken"))
+        out = one if out is None else out.unionByName(one)
+    return out

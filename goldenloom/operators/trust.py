@@ -55,7 +55,9 @@ def validity(profile: str) -> Column:
     checks = _checks(profile)
     seen = reduce(add, [present(field(f)).cast("int") for f, _ in checks])
     good = reduce(add, [(present(field(f)) & ok).cast("int") for f, ok in checks])
-    none = 0.0 if profile == "dev" else 0.80
+    # Of the service profile's scores, an entity without fields is half valid, one with nothing to check .8.
+    empty = F.coalesce(F.size(F.map_filter("fields", lambda _, v: present(v))), F.lit(0)) == 0
+    none = F.lit(0.0) if profile == "dev" else F.when(empty, 0.50).otherwise(0.80)
     return F.when(seen > 0, F.coalesce(good, F.lit(0)) / seen).otherwise(none)
 
 
@@ -140,18 +142,28 @@ def name_of() -> Column:
 
 
 def quality(entities: DataFrame, trust: DataFrame) -> DataFrame:
-    """Completeness .35, validity .25, uniqueness .25, timeliness .15, with a grade. Names are counted by a pre-aggregated join."""
-    rows = entities.select("entity_id", "entity_type", norm(name_of()).alias("name"), completeness("dev").alias("completeness"), validity("dev").alias("validity"))
+    """Completeness .35, validity .25, uniqueness .25, timeliness .15, with a grade. Names are counted by a pre-aggregated join; merged records count too."""
+    rows = entities.select("entity_id", "entity_type", norm(field("name")).alias("name"), completeness("dev").alias("completeness"), validity("dev").alias("validity"))
     same = rows.where(present(F.col("name"))).groupBy("entity_type", "name").agg((F.count("*") - 1).alias("others"))
     rows = rows.join(same, ["entity_type", "name"], "left").join(trust.select("entity_id", F.col("recency").alias("timeliness")), "entity_id", "left")
     unique = F.when(present(F.col("name")), F.greatest(F.lit(0.0), 1 - 0.3 * F.coalesce("others", F.lit(0)))).otherwise(0.5)
     rows = rows.withColumn("uniqueness", unique).withColumn("timeliness", F.coalesce("timeliness", F.lit(0.5)))
     overall = 0.35 * F.col("completeness") + 0.25 * F.col("validity") + 0.25 * F.col("uniqueness") + 0.15 * F.col("timeliness")
-    return rows.select("entity_id", "entity_type", "completeness", "validity", "uniqueness", "timeliness", F.round(overall, 8).alias("overall")).withColumn(
+    return rows.select("entity_id", "entity_type", "completeness", "validity", "uniqueness", "timeliness", F.round(F.round(overall, 8), 4).alias("overall")).withColumn(
         "grade", grade(F.col("overall"))
     )
 
 
+def quality_averages(scores: DataFrame) -> DataFrame:
+    """One row a grade: entities and mean scores."""
+    return scores.groupBy("grade").agg(F.count("*").alias("entities"), *[F.round(F.avg(c), 4).alias(f"avg_{c}") for c in ("overall", "completeness", "validity", "uniqueness")])
+
+
+def low_trust(scores: DataFrame, below: float = 0.70, k: int = 10) -> DataFrame:
+    """The k least trusted entities below the bound."""
+    return scores.where(F.col("overall") < below).orderBy("overall", "entity_id").limit(k).select("entity_id", "entity_type", "overall", "tier")
+
+
 def missing_fields(entities: DataFrame, profile: str = "dev") -> DataFrame:
     """Required fields that an entity lacks, one row each."""
     names = {k: F.array(*[F.lit(f) for f in fs]) for k, fs in rules.REQUIRED[profile].items()}
@@ -161,7 +173,12 @@ def missing_fields(entities: DataFrame, profile: str = "dev") -> DataFrame:
 
 
 def running_mean(log: DataFrame) -> DataFrame:
-    """Mean of an entity's scores up to each one."""
-    w = Window.partitionBy("entity_id").orderBy("computed_at").rowsBetween(Window.unboundedPreceding, 0)
+    """Mean of an entity's scores up to each one, in two levels: inside months, and over the months' sums, so an entity's scores are not one task's."""
     rows = log.where("entity_id IS NOT NULL AND computed_at IS NOT NULL").groupBy("entity_id", "computed_at").agg(F.max("overall").alias("overall"))
-    return rows.select("entity_id", "computed_at", F.round(F.avg("overall").over(w), 8).alias("mean_so_far"))
+    rows = rows.withColumn("month", F.date_trunc("month", "computed_at"))
+    inside = Window.partitionBy("entity_id", "month").orderBy("computed_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("entity_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = rows.groupBy("entity_id", "month").agg(F.sum("overall").alias("s"), F.count("overall").alias("n"))
+    months = months.select("entity_id", "month", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    rows = rows.withColumn("own", F.coalesce(F.sum("overall").over(inside), F.lit(0.0))).withColumn("k", F.count("overall").over(inside))
+    return rows.join(months, ["entity_id", "month"]).select("entity_id", "computed_at", F.round(F.try_divide(F.col("s") + F.col("own"), F.col("n") + F.col("k")), 8).alias("mean_so_far"))

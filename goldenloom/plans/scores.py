@@ -36,9 +36,14 @@ def _ignore(s, d):
 
 
 def _policies(s, d):
-    rows = [("required_customer", ["customer"], ["name", "email", "phone"], True), ("required_any", [], ["name"], True), ("retired", [], ["sku"], False)]
-    registry = s.createDataFrame(rows, "policy_id string, applies_to array<string>, required_fields array<string>, is_active boolean")
-    return G.apply_policies(_cur(s, d), registry)
+    """The seeded policies, one of every type's first fields, and one that is not active."""
+    extra = [("required_customer", "quality", ["customer"], ["name", "email", "phone"], [], "medium", True), ("retired", "quality", [], ["sku"], [], "low", False)]
+    seeds = G.registry(s, "service")
+    return G.apply_policies(_cur(s, d), seeds.unionByName(s.createDataFrame(extra, seeds.schema)))
+
+
+def _found(s, d):
+    return G.violations(_cur(s, d), _dev(s, d))
 
 
 def _overlay(s, d):
@@ -49,6 +54,9 @@ def _overlay(s, d):
     return one.select("golden_record_id", F.explode(E.overlay(F.col("a"), F.col("b"))).alias("field", "value")).where("value <> ''")
 
 
+#: The policies of the dev profile that its scan reports.
+POLICY_OF = {"completeness": "pol-2", "pii": "pol-1", "trust": "pol-5"}
+
 QUERIES = {
     "entities_current": lambda s, d: _cur(s, d).select("entity_id", "entity_type", "status", "source", "version"),
     "entity_list_page": lambda s, d: E.list_page(_cur(s, d), T.latest_tier(table(s, d, "trust_scores")), "product", "active", None, 10, 40).select("entity_id", "created_at"),
@@ -66,6 +74,12 @@ QUERIES = {
     "trust_running_mean": lambda s, d: T.running_mean(table(s, d, "trust_scores")).select("entity_id", "mean_so_far"),
     "quality_scores": lambda s, d: T.quality(_cur(s, d), _dev(s, d)),
     "quality_summary": lambda s, d: T.quality(_cur(s, d), _dev(s, d)).groupBy("grade").count().withColumnRenamed("count", "entities"),
+    "quality_averages": lambda s, d: T.quality_averages(T.quality(_cur(s, d), _dev(s, d))),
+    "low_trust": lambda s, d: T.low_trust(_dev(s, d)),
+    "policy_seeds": lambda s, d: G.registry(s, "dev"),
+    "source_seeds": lambda s, d: s.createDataFrame(list(rules.DATA_SOURCES), "source_name string, source_type string, trust_weight double"),
+    "pii_policy_violations": lambda s, d: G.pii_policies(G.detect_service(_cur(s, d)), _cur(s, d), G.registry(s, "service")),
+    "violation_policies": lambda s, d: G.with_policies(_found(s, d), G.registry(s, "dev"), POLICY_OF),
     "completeness_missing_fields": lambda s, d: T.missing_fields(_cur(s, d)),
     "pii_detect_dev": lambda s, d: G.detect_dev(_cur(s, d)),
     "pii_detect_service": lambda s, d: G.detect_service(_cur(s, d)),
@@ -119,7 +133,7 @@ def _valid(profile: str) -> str:
         checks += [("phone", "length(regexp_replace(fields['phone'], '\\D', '', 'g')) >= 7"), ("tax_id", "length(trim(fields['tax_id'])) >= 5")]
     seen = _filled([f for f, _ in checks])
     good = " + ".join(f"CAST(coalesce(fields['{f}'] <> '' AND {c}, FALSE) AS INT)" for f, c in checks)
-    return f"CASE WHEN ({seen}) > 0 THEN ({good}) / ({seen})::DOUBLE ELSE {0.0 if profile == 'dev' else 0.8}::DOUBLE END"
+    return f"CASE WHEN ({seen}) > 0 THEN ({good}) / ({seen})::DOUBLE ELSE {"0.0" if profile == 'dev' else "(CASE WHEN coalesce(len(list_filter(map_values(fields), lambda v: v IS NOT NULL AND v <> '')), 0) = 0 THEN 0.5 ELSE 0.8 END)"}::DOUBLE END"
 
 
 _TIER = "CASE WHEN overall >= 0.85 THEN 'gold' WHEN overall >= 0.70 THEN 'silver' WHEN overall >= 0.50 THEN 'bronze' ELSE 'unverified' END"
@@ -129,7 +143,7 @@ DEV = f"""{CUR}, r AS (
 ), dev AS (
   SELECT *, {_TIER} AS tier FROM (SELECT *, round(0.35::DOUBLE * completeness + 0.20::DOUBLE * recency + 0.30::DOUBLE * source_reliability + 0.15::DOUBLE, 4) AS overall FROM r)
 )"""
-_NAME = "trim(regexp_replace(lower(coalesce(fields['name'], fields['full_name'])), '\\s+', ' ', 'g'))"
+_NAME = "trim(regexp_replace(lower(fields['name']), '\\s+', ' ', 'g'))"
 QUALITY = f"""{DEV}, q0 AS (
   SELECT entity_id, entity_type, {_NAME} AS name, {_complete('dev')} AS completeness, {_valid('dev')} AS validity FROM cur
 ), q1 AS (
@@ -138,7 +152,7 @@ QUALITY = f"""{DEV}, q0 AS (
 ), q AS (
   SELECT entity_id, entity_type, completeness, validity, uniqueness, timeliness, overall,
     CASE WHEN overall >= 0.9 THEN 'A' WHEN overall >= 0.75 THEN 'B' WHEN overall >= 0.6 THEN 'C' WHEN overall >= 0.4 THEN 'D' ELSE 'F' END AS grade
-  FROM (SELECT *, round(0.35::DOUBLE * completeness + 0.25::DOUBLE * validity + 0.25::DOUBLE * uniqueness + 0.15::DOUBLE * timeliness, 8) AS overall FROM q1)
+  FROM (SELECT *, round(CAST(round(0.35::DOUBLE * completeness + 0.25::DOUBLE * validity + 0.25::DOUBLE * uniqueness + 0.15::DOUBLE * timeliness, 8) AS DECIMAL(18, 8)), 4)::DOUBLE AS overall FROM q1)
 )"""
 _LONG = "long AS (SELECT entity_id, entity_type, e.key AS field, e.value AS value FROM cur, unnest(map_entries(fields)) AS u(e))"
 
@@ -207,6 +221,14 @@ ORACLES = {
     "pii_documents": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pii_type FROM documents WHERE regexp_matches(text, '{G.ascii_bounds(p)}')" for n, p, _ in rules.PII_PATTERNS_SERVICE),
     "policy_violations": f"WITH {VIOLATIONS} SELECT * FROM v",
     "violations_by_severity": f"WITH {VIOLATIONS} SELECT severity, kind, count(*) AS violations FROM v GROUP BY 1, 2",
-    "policy_registry": f"""WITH {CUR} SELECT entity_id, 'required_any' AS policy_id, 'name' AS field FROM cur WHERE coalesce(fields['name'], '') = ''
+    "quality_averages": f"WITH {QUALITY} SELECT grade, count(*) AS entities, round(avg(overall), 4) AS avg_overall, round(avg(completeness), 4) AS avg_completeness, round(avg(validity), 4) AS avg_validity, round(avg(uniqueness), 4) AS avg_uniqueness FROM q GROUP BY 1",
+    "low_trust": f"WITH {DEV} SELECT entity_id, entity_type, overall, tier FROM dev WHERE overall < 0.7 ORDER BY overall, entity_id LIMIT 10",
+    "policy_seeds": "SELECT * FROM (VALUES " + ", ".join(str(p) for p in rules.POLICIES_DEV) + ") t(policy_id, name, kind, severity)",
+    "source_seeds": "SELECT source_name, source_type, trust_weight::DOUBLE AS trust_weight FROM (VALUES " + ", ".join(str(p) for p in rules.DATA_SOURCES) + ") t(source_name, source_type, trust_weight)",
+    "pii_policy_violations": f"""WITH {CUR}, {_LONG}, p AS (SELECT entity_id, entity_type, field, coalesce({_BY_NAME}, {_first(rules.PII_PATTERNS_SERVICE, 0)}) AS pii_type FROM long WHERE value IS NOT NULL)
+      SELECT DISTINCT entity_id, 'pii_masking' AS policy_id, field, 'high' AS severity FROM p WHERE entity_type IN ('customer', 'employee') AND pii_type IS NOT NULL AND (field IN ('email', 'phone', 'ssn', 'date_of_birth') OR pii_type IN ('email', 'phone', 'ssn', 'date_of_birth'))""",
+    "violation_policies": f"""WITH {VIOLATIONS} SELECT v.*, policy_id, name AS policy FROM (SELECT *, CASE kind WHEN 'completeness' THEN 'pol-2' WHEN 'pii' THEN 'pol-1' ELSE 'pol-5' END AS policy_id FROM v) v
+      LEFT JOIN (VALUES {", ".join(str(p) for p in rules.POLICIES_DEV)}) t(policy_id, name, k, s) USING (policy_id)""".replace("SELECT v.*, policy_id,", "SELECT v.entity_id, v.kind, v.field, v.severity, policy_id,"),
+    "policy_registry": f"""WITH {CUR} SELECT entity_id, 'completeness_threshold' AS policy_id, 'name' AS field FROM cur WHERE coalesce(fields['name'], '') = ''
       UNION ALL SELECT entity_id, 'required_customer', f FROM cur, unnest(['name', 'email', 'phone']) AS u(f) WHERE entity_type = 'customer' AND coalesce(fields[f], '') = ''""",
 }

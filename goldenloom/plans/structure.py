@@ -63,18 +63,18 @@ QUERIES = {
     "graph_shortest_path": _paths,
     "lineage_stats": lambda s, d: A.lineage_stats(table(s, d, "entities")),
     "lineage_upstream": lambda s, d: G.provenance(_merges(s, d), 1).select("node", "origin"),
-    "provenance_chain": lambda s, d: G.provenance(_merges(s, d), 3),
+    "provenance_chain": lambda s, d: G.provenance(_merges(s, d)),
     "analytics_counts": lambda s, d: A.counts(E.current(table(s, d, "entities"))),
     "resolution_stats": lambda s, d: A.resolution_stats(table(s, d, "resolution_results")),
     "integrity_checks": _integrity,
     "copilot_intents": lambda s, d: A.intents(table(s, d, "documents")),
     "topic_routing": _topics,
-    "rate_limit_windows": lambda s, d: A.rate_windows(table(s, d, "events"), 1, "10 minutes"),
+    "rate_limit_windows": lambda s, d: A.rate_windows(table(s, d, "events"), 1000, "60 seconds"),
     "http_telemetry": lambda s, d: A.telemetry(table(s, d, "events")),
     "dependency_cves": lambda s, d: scan.advisories(_dependencies(s, d)),
     
     "load_smoothing": lambda s, d: M.smoothed(M.hourly(table(s, d, "events"))),
-    "scaling_forecast": lambda s, d: M.scaling(M.smoothed(M.hourly(table(s, d, "events")))),
+    "scaling_forecast": lambda s, d: M.scaling(M.smoothed(M.hourly(table(s, d, "events"))), "2026-01-02 09:45:00"),
     "right_sizing": lambda s, d: M.right_sizing(table(s, d, "events")),
     "load_variation": lambda s, d: M.variation(table(s, d, "events")),
     "hpa_thrash": lambda s, d: M.thrash(table(s, d, "events"), 600),
@@ -107,7 +107,7 @@ ORACLES = {
       x AS (SELECT DISTINCT entity_id, captured_at, source, merged_into, deleted_at FROM entities WHERE captured_at IS NOT NULL)
       SELECT operation, count(*) AS events, count(DISTINCT entity_id) AS entities FROM (SELECT entity_id, {_KIND} AS operation FROM x JOIN b USING (entity_id)) GROUP BY 1""",
     "lineage_upstream": f"WITH {_ME} SELECT source AS node, target AS origin FROM me",
-    "provenance_chain": f"""WITH RECURSIVE {_ME}, r AS (SELECT source AS node, target AS origin, 1 AS hops FROM me UNION SELECT r.node, me.target, hops + 1 FROM r JOIN me ON me.source = r.origin WHERE hops < 3)
+    "provenance_chain": f"""WITH RECURSIVE {_ME}, r AS (SELECT source AS node, target AS origin, 1 AS hops FROM me UNION SELECT r.node, me.target, hops + 1 FROM r JOIN me ON me.source = r.origin WHERE hops < 10)
       SELECT node, origin, min(hops) AS hops FROM r WHERE node <> origin GROUP BY 1, 2""",
     "analytics_counts": f"""WITH {CUR} SELECT 'type' AS kind, entity_type AS value, count(*) AS entities FROM cur GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM cur GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM cur GROUP BY 2""",
     "resolution_stats": """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id) AS rn FROM resolution_results) WHERE rn = 1)
@@ -118,13 +118,13 @@ ORACLES = {
     "copilot_intents": f"SELECT doc_id, {_INTENT} AS intent FROM documents WHERE text IS NOT NULL",
     "topic_routing": f"""WITH x AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'entity.ingested' WHEN 'purchase' THEN 'entity.merged' ELSE 'web.' || event_type END AS kind FROM events)
       SELECT {_TOPIC} AS topic, count(*) AS events, count(DISTINCT user_id) AS keys FROM x GROUP BY 1""",
-    "rate_limit_windows": "SELECT user_id, strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) > 1 AS limited FROM events GROUP BY 1, 2",
+    "rate_limit_windows": "SELECT user_id, strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, count(*) > 1000 AS limited FROM events GROUP BY 1, 2",
     "http_telemetry": """SELECT event_type, count(*) AS requests, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 4) AS share, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1""",
     "dependency_cves": f"""WITH a(i, package, fixed, advisory, score, severity) AS (VALUES {_ADV}),
       dep AS (SELECT DISTINCT a.package, (p_size % 7) || '.' || (p_partkey % 40) || '.1' AS version FROM part JOIN a ON a.i = p_partkey % {len(rules.ADVISORIES)})
       SELECT package, version, advisory, score, severity FROM dep JOIN a USING (package) WHERE {_VER.format('version')} < {_VER.format('fixed')}""",
     "load_smoothing": f"WITH RECURSIVE {_SMOOTH} SELECT * FROM z",
-    "scaling_forecast": f"""WITH RECURSIVE {_SMOOTH}, y AS (SELECT event_type, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, level + slope)), 4) AS load FROM z)
+    "scaling_forecast": f"""WITH RECURSIVE {_SMOOTH}, y AS (SELECT event_type, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, level + slope) * 1.3::DOUBLE), 4) AS load FROM z WHERE points >= 3)
       SELECT event_type, load, CASE WHEN load > 0.70 THEN 'scale_up' WHEN load < 0.30 THEN 'scale_down' ELSE 'keep' END AS action,
       CAST(CASE WHEN load > 0.70 THEN least(20, ceil(4 * load / 0.70::DOUBLE)) WHEN load < 0.30 THEN 2 ELSE 4 END AS INT) AS replicas FROM y""",
     "right_sizing": """SELECT user_id, count(*) AS samples, round(quantile_cont(value, 0.5) * 1.1::DOUBLE, 4) AS request, round(quantile_cont(value, 0.95) * 1.3::DOUBLE, 4) AS "limit", round(quantile_cont(value, 0.99) * 1.5::DOUBLE, 4) AS peak FROM events GROUP BY 1""",
