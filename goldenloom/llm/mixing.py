@@ -8,8 +8,10 @@ weights, until no further source is clamped. A source then uses all its
 documents a whole number of times and a seeded part of them once more.
 
 That part is cut by a hash of the document: token sums of 65,536 hash slots per
-source give the slot at which the part ends, so no source is sorted in one
-task, and the choice is the same however the table is partitioned.
+source give the slot in which the part ends, so no source is sorted in one
+task. Inside that one slot of each source documents are taken by their own hash
+as long as they bring the sum nearer to the wanted tokens. The choice is the same
+however the table is partitioned.
 
 The report has one row per listed source, at most as many as the weights table
 has; only these per-source sums meet on the driver.
@@ -90,18 +92,22 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, se
         [(s, p["target"], p["cap"], p["held"], p["whole"], p["part"]) for s, p in chosen.items()],
         "source string, target_share double, max_repeats int, tokens_held bigint, whole int, part double",
     )
+    # Slots that lie below the wanted tokens as a whole; the one after the last of them is cut by documents.
     running = F.sum("tokens").over(W.partitionBy("source").orderBy("slot"))
-    ends = (
-        slots.withColumn("upto", running)
-        .join(F.broadcast(steps.select("source", "part", "tokens_held")), "source")
-        .where(F.col("upto") <= F.round(F.col("part") * F.col("tokens_held")))
-        .groupBy("source").agg(F.max("slot").alias("last_slot"))
-    )
-    steps = F.broadcast(steps.join(ends, "source", "left"))
-    extra = F.coalesce((F.col("slot") <= F.col("last_slot")).cast("int"), F.lit(0))
-    used = counted.join(steps.select("source", "whole", "last_slot"), "source").select(
-        "doc_id", "source", "tokens", (F.col("whole") + extra).alias("copies")
+    wanted = F.col("part") * F.col("tokens_held")
+    ends = slots.withColumn("upto", running).join(F.broadcast(steps.select("source", "part", "tokens_held")), "source").where(wanted > 0)
+    ends = ends.groupBy("source").agg(
+        F.min(F.when(F.col("upto") > wanted, F.col("slot"))).alias("cut_slot"), F.coalesce(F.max(F.when(F.col("upto") <= wanted, F.col("upto"))), F.lit(0)).alias("whole_slots")
     )
+    steps = F.broadcast(steps.join(ends, "source", "left"))
+    rows = counted.join(steps.select("source", "whole", "part", "tokens_held", "cut_slot", "whole_slots"), "source")
+    at = W.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+    edge = rows.where(F.col("slot") == F.col("cut_slot")).withColumn("upto", F.sum("tokens").over(at) + F.col("whole_slots"))
+    # A document is taken if more of it lies below the wanted tokens than above.
+    edge = edge.withColumn("extra", (F.col("upto") - F.col("tokens") / 2 <= wanted).cast("int")).drop("upto")
+    inside = F.when(wanted > 0, (F.col("cut_slot").isNull() | (F.col("slot") < F.col("cut_slot"))).cast("int")).otherwise(0)
+    rest = rows.where(F.col("cut_slot").isNull() | (F.col("slot") != F.col("cut_slot"))).withColumn("extra", inside)
+    used = rest.unionByName(edge).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies"))
     made = used.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.count("*").alias("documents")
     )

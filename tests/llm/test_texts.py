@@ -54,6 +54,19 @@ def test_mixture_report(spark):
     assert used.where("source = 'b' AND copies > 1").count() == 0 and used.where("source IS NULL").count() == 0
 
 
+def test_shares_are_met_where_there_is_enough(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * rng.randint(1, 40)), "abc"[i % 3], "", "") for i in range(900)], DOCS)
+    targets = spark.createDataFrame([("a", 0.11, 3), ("b", 0.33, 2), ("c", 0.56, 2)], "source string, target_share double, max_repeats int")
+    used, report = mixing.mixture(docs, targets)
+    for r in report.collect():
+        assert r["reached"] and abs(r["actual_share"] - r["target_share"]) < 0.003 and r["repeats"] <= r["max_repeats"]
+    again = mixing.mixture(docs.repartition(7), targets)[0]
+    assert {tuple(r) for r in used.collect()} == {tuple(r) for r in again.collect()}
+    most = {r["source"]: r["n"] for r in used.selectExpr("source", "copies").groupBy("source").agg({"copies": "max"}).withColumnRenamed("max(copies)", "n").collect()}
+    assert all(most[s] <= cap for s, cap in (("a", 3), ("b", 2), ("c", 2)))
+
+
 CASES = ["Dear {{name}},\nYour tax number [INSERT TAX NUMBER] was accepted on 2024-01-01.", "Dear ,\nReference  stays valid for all mail from .", "Lorem ipsum dolor sit amet elit.",
          "HTTP 404 - Not Found", "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Real sentence about stock.\nYour session has expired.", "qwer asdf jkl qwer"]
 FINE = ["Dear Ann Lee,\nYour tax number 123 was accepted on 2024-01-01.", "During the review we removed lorem ipsum from 3 supplier descriptions that a web form had left behind.",
