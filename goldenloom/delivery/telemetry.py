@@ -46,7 +46,7 @@ def right_sizing(events: DataFrame) -> DataFrame:
     """Requests and limits per user from exact percentiles."""
     n = events.groupBy("user_id").agg(F.count("*").alias("samples"))
     p = exact_percentiles(events, "user_id", "value", (0.5, 0.95, 0.99))
-    return n.join(p, "user_id", "left").select("user_id", "samples", F.round(F.col("p0") * 1.1, 4).alias("request"), F.round(F.col("p1") * 1.3, 4).alias("limit"), F.round(F.col("p2") * 1.5, 4).alias("peak"))
+    return n.join(p, "user_id", "left").select("user_id", "samples", *[F.round(F.round(F.col(c) * k, 8), 4).alias(n) for c, k, n in (("p0", 1.1, "request"), ("p1", 1.3, "limit"), ("p2", 1.5, "peak"))])
 
 
 def variation(events: DataFrame) -> DataFrame:

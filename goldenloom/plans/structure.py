@@ -127,7 +127,7 @@ ORACLES = {
     "scaling_forecast": f"""WITH RECURSIVE {_SMOOTH}, y AS (SELECT event_type, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, level + slope) * 1.3::DOUBLE), 4) AS load FROM z WHERE points >= 3)
       SELECT event_type, load, CASE WHEN load > 0.70 THEN 'scale_up' WHEN load < 0.30 THEN 'scale_down' ELSE 'keep' END AS action,
       CAST(CASE WHEN load > 0.70 THEN least(20, ceil(4 * load / 0.70::DOUBLE)) WHEN load < 0.30 THEN 2 ELSE 4 END AS INT) AS replicas FROM y""",
-    "right_sizing": """SELECT user_id, count(*) AS samples, round(quantile_cont(value, 0.5) * 1.1::DOUBLE, 4) AS request, round(quantile_cont(value, 0.95) * 1.3::DOUBLE, 4) AS "limit", round(quantile_cont(value, 0.99) * 1.5::DOUBLE, 4) AS peak FROM events GROUP BY 1""",
+    "right_sizing": "SELECT user_id, count(*) AS samples, " + ", ".join(f'round(CAST(round(quantile_cont(value, {q}) * {k}::DOUBLE, 8) AS DECIMAL(18, 8)), 4)::DOUBLE AS "{n}"' for q, k, n in ((0.5, 1.1, "request"), (0.95, 1.3, "limit"), (0.99, 1.5, "peak"))) + " FROM events GROUP BY 1",
     "load_variation": "SELECT event_type, round(avg(value), 4) AS mean, round(var_pop(value), 4) AS variance, round(stddev_pop(value) / avg(value), 4) AS cv FROM events GROUP BY 1",
     "hpa_thrash": """WITH s AS (SELECT user_id, ts, event_id, sign(value - lag(value) OVER w) AS d1, epoch(ts) - epoch(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       t AS (SELECT *, lag(d1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d0 FROM s)
