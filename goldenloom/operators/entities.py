@@ -56,3 +56,32 @@ def upsert(existing: DataFrame, batch: DataFrame, key: str, order: str) -> DataF
 def insert_ignore(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """``existing`` and the batch rows with new keys."""
     return existing.unionByName(batch.select(*existing.columns).join(existing.select(key), key, "left_anti"))
+
+
+def matching(entities: DataFrame, trust: DataFrame, entity_type=None, status=None, tier=None) -> DataFrame:
+    """One row: how many entities the filters of ``list_page`` leave."""
+    out = entities
+    for column, value in (("entity_type", entity_type), ("status", status)):
+        out = out.where(F.col(column) == value) if value else out
+    if tier:
+        out = out.join(trust.where(F.col("tier") == tier), "entity_id", "left_semi")
+    return out.agg(F.count("*").alias("total"))
+
+
+def fetch(entities: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The entities of ranked ids (entity_id, rank) with their rank; ids that are unknown are left out."""
+    return ranked.select("entity_id", "rank").join(entities, "entity_id")
+
+
+def read_only(spark, statement: str) -> DataFrame:
+    """The result of a statement that only reads; raises ValueError for any other, also one behind a reading first part."""
+    from pyspark.errors import ParseException
+
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except ParseException as e:
+        raise ValueError("no statement") from e
+    name = plan.getClass().getSimpleName()
+    if name.endswith("Command") or name.startswith(("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Truncate", "Alter", "Replace", "Set", "Add", "Load")):
+        raise ValueError(f"not a reading statement: {name}")
+    return spark.sql(statement)

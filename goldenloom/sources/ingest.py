@@ -45,12 +45,35 @@ def parse_events(raw: DataFrame, body: str = "value") -> tuple[DataFrame, DataFr
     """(valid envelopes with topic and partition key, rows that are none) of JSON bodies, batch or stream."""
     rows = raw.withColumn("e", F.from_json(F.col(body).cast("string"), ENVELOPE))
     good = F.col("e.event_id").isNotNull() & F.col("e.event_type").isNotNull()
-    events = rows.where(good).select("e.*").withColumn("topic", topic_of(F.col("event_type"))).withColumn("partition_key", partition_key(F.col("entity_id"), F.col("event_id")))
+    events = rows.where(good).select("e.*").withColumn("topic", topic_of(F.col("event_type")))
+    events = events.withColumn("partition_key", partition_key(F.col("event_type"), F.col("payload"), F.col("entity_id"), F.col("event_id")))
     return events, rows.where(~F.coalesce(good, F.lit(False))).drop("e")
 
 
-def partition_key(entity_id: Column, event_id: Column) -> Column:
-    return F.coalesce(entity_id, event_id)
+#: What an event of a kind is keyed by, beside its entity.
+KEYED_BY = {"entity.merged": "golden_record_id", "duplicate.detected": "entity_id_1", "batch.ingested": "batch_id", "agent.task.started": "task_id", "agent.task.completed": "task_id"}
+
+
+def partition_key(event_type: Column, payload: Column, entity_id: Column, event_id: Column) -> Column:
+    """The key of an event's class in the payload, else the entity, else the event itself."""
+    own = F.lit(None).cast("string")
+    for kind, key in KEYED_BY.items():
+        own = F.when(event_type == kind, payload[key]).otherwise(own)
+    return F.coalesce(own, entity_id, event_id)
+
+
+def envelopes(rows: DataFrame, event_type: str, source: str) -> DataFrame:
+    """JSON bodies (event_id, value) of entities (entity_id, fields, at) as events of a type; the id is a digest, so an event built again is the same."""
+    ident = F.substring(F.sha2(F.concat_ws("|", F.lit(event_type), "entity_id", F.col("at").cast("string")), 256), 1, 32)
+    event = F.struct(ident.alias("event_id"), F.lit(event_type).alias("event_type"), F.col("at").alias("occurred_at"), F.lit(source).alias("source"), "entity_id", F.col("fields").alias("payload"))
+    return rows.select(ident.alias("event_id"), F.to_json(event).alias("value"))
+
+
+def batch_status(rows: DataFrame, by: str, failed: Column) -> DataFrame:
+    """Rows, processed and failed ones of every batch, and its status."""
+    n = rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if(failed).alias("failed"))
+    status = F.when(F.col("failed") == 0, "completed").when(F.col("failed") < F.col("total"), "completed_with_errors").otherwise("failed")
+    return n.select(by, "total", (F.col("total") - F.col("failed")).alias("processed"), "failed", status.alias("status"))
 
 
 def requirements(manifests: DataFrame) -> DataFrame:

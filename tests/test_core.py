@@ -1,14 +1,17 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from goldenloom import catalog
-from goldenloom.delivery import scan
+from goldenloom.delivery import cluster, scan
 from goldenloom.functions import text as X
+from goldenloom.operators import analytics as A
 from goldenloom.operators import changes as H
 from goldenloom.operators import components as C
 from goldenloom.operators import entities as E
 from goldenloom.operators import graph as G
+from goldenloom.operators import lineage as L
 from goldenloom.operators import resolution as R
 from goldenloom.operators import similarity as S
 from goldenloom.operators import survivorship as V
@@ -228,3 +231,82 @@ def test_flat_json_keeps_its_fields(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "y", "name": "N", "x": "", "n": 3}\n{"fields": {"name": "M"}}\n')
     rows = {r["fields"].get("name"): (r["entity_id"], r["fields"]) for r in ingest.read_json(spark, str(tmp_path / "a.json"), "customer").collect()}
     assert rows["N"] == ("y", {"name": "N", "n": "3"}) and rows["M"][1] == {"name": "M"}
+
+
+def test_latest_trust_keeps_one_score_of_each_entity(spark, tmp_path):
+    rows = "SELECT 'a' AS entity_id, id / 10D AS overall, timestamp_seconds(1700000000 + id) AS computed_at FROM range(3) UNION ALL SELECT NULL, 1D, current_timestamp()"
+    for i, extra in enumerate(("", " UNION ALL SELECT 'a', 0.9D, timestamp_seconds(1699999999) UNION ALL SELECT 'a', 0.5D, timestamp_seconds(1700000009)")):
+        spark.sql(f"SELECT * FROM ({rows if i == 0 else 'SELECT NULL AS entity_id, 0D AS overall, current_timestamp() AS computed_at'}{extra})").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("entity_id string, overall double, computed_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = windows.latest_trust(stream).writeStream.format("memory").queryName("trust").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r["overall"], None if r["change"] is None else round(r["change"], 6)) for r in spark.table("trust").orderBy("computed_at").collect()]
+    assert got[-1] == (0.5, 0.3) and 0.9 not in {a for a, _ in got[1:]}
+
+
+def test_scored_ingest_and_filters(spark, tmp_path):
+    spark.sql("SELECT * FROM VALUES ('a', 'customer', 'sap_erp', map('name', 'A', 'email', ' ')), ('b', 'customer', NULL, map('name', '')), (NULL, 'customer', 'x', map('name', 'C')) t(entity_id, entity_type, source, fields)").withColumn(
+        "created_at", F.lit("2025-12-01").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("entity_id string, entity_type string, source string, fields map<string,string>, created_at timestamp").parquet(str(tmp_path / "in"))
+    windows.scored_ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "bad")).awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert row["entity_id"] == "a" and row["fields"] == {"name": "A"} and row["tier"] in ("silver", "bronze") and spark.read.parquet(str(tmp_path / "bad")).count() == 2
+    events = spark.createDataFrame([("customer", 0.9), ("supplier", 0.9), ("customer", 0.1), ("customer", None)], "entity_type string, combined double")
+    assert windows.resolutions(events, "customer", 0.5).count() == 1
+    e = spark.sql("SELECT timestamp_seconds(1700000000 + id * 600) AS ts, 1L AS user_id FROM range(6)")
+    assert windows.sessions(e, "5 minutes").count() == 6 and windows.sessions(e, "15 minutes").count() == 1 and windows.sliding(e).selectExpr("sum(events)").first()[0] == 12
+
+
+def test_lineage_of_merges(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("c", "d")], "id_a string, id_b string")
+    events = L.merge_events(pairs, H.merged_id("id_a", "id_b"), "2026-01-01")
+    assert L.downstream(events).count() == 4 and L.stats(events).where("operation = 'merged_into'").first()["entities"] == 4
+    new = events.where("operation = 'merged' AND array_contains(sources, 'a')").select("entity_id")
+    assert {(r["entity_id"], r["own"]) for r in L.lineage_of(events, new).collect()} == {(new.first()[0], True), ("a", False), ("b", False)}
+    assert {r["type"] for r in L.edges(events).collect()} == {"DERIVED_FROM"} and L.simple_events(pairs.selectExpr("id_a AS entity_id", "NULL AS source"), "enriched", "2026-01-01").count() == 2
+
+
+def test_percentiles_in_two_levels(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice([rng.gauss(0, 1), 5.0, None])) for _ in range(3000)] + [("one", 7.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["p0"], r["p1"]) for r in A.exact_percentiles(df, "k", "v", (0.5, 0.95)).collect()}
+    want = {r["k"]: tuple(r["p"]) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95))).alias("p")).where("p[0] IS NOT NULL").collect()}
+    assert set(got) == set(want) and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k]))
+
+
+def test_paths_subgraphs_and_dependents(spark):
+    edges = spark.createDataFrame([("a", "b", "t"), ("b", "c", "t"), ("a", "x", "t"), ("x", "c", "t"), ("c", "d", "DERIVED_FROM"), ("b", "d", "DERIVED_FROM"), ("d", "b", "DERIVED_FROM")], "source string, target string, type string")
+    pairs = spark.createDataFrame([("a", "d"), ("a", "a"), ("a", "zz")], "source string, target string")
+    assert {tuple(r) for r in G.shortest_paths(edges, pairs, 4).collect()} == {("a", "d", 2, "a>b>d"), ("a", "a", 0, "a")}
+    near = G.neighborhood(edges, spark.createDataFrame([("a",)], "node string"), 1)
+    assert {(r["source"], r["target"]) for r in G.subgraph(edges, near, ("t",)).collect()} == {("a", "b"), ("a", "x")}
+    assert {r["node"]: r["dependents"] for r in G.inbound(edges, spark.createDataFrame([("d",), ("a",)], "node string")).collect()} == {"d": 2, "a": 0}
+    assert G.upsert_edges(edges, edges).count() == 7
+    nodes = spark.createDataFrame([("a", "A", "n"), ("b", "B", "n")], "id string, label string, name string")
+    assert G.upsert_nodes(nodes, nodes.limit(1)).count() == 2 and {r["rule"]: r["broken"] for r in G.broken_constraints(nodes, edges).collect()}["edge_ends_known"] == 6
+
+
+def test_only_reading_statements(spark):
+    assert E.read_only(spark, "SELECT 1 AS x").first()["x"] == 1
+    for bad in ("DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE TABLE t (a INT)", "nonsense"):
+        with pytest.raises(ValueError):
+            E.read_only(spark, bad)
+
+
+def test_pods_and_drift(spark):
+    pods = [("p1", "Pending", None, [("c", 9, "CrashLoopBackOff", "OOMKilled", False)]), ("p2", "Running", "Evicted", [("c", 9, "", "", True)]), ("p3", "Running", None, [("c", 9, "CrashLoopBackOff", "OOMKilled", False), ("d", 6, None, None, None)]), ("p4", "Running", None, [])]
+    df = spark.createDataFrame(pods, "pod string, phase string, reason string, containers array<struct<name:string,restarts:int,waiting:string,terminated:string,ready:boolean>>")
+    got = {(r["pod"], r["container"], r["issue_type"]) for r in cluster.pod_issues(df).collect()}
+    assert got == {("p1", "", "Pending"), ("p2", "", "Evicted"), ("p3", "c", "CrashLoopBackOff"), ("p3", "c", "OOMKilled"), ("p3", "c", "NotReady"), ("p3", "d", "HighRestartCount")}
+    leaves = "resource string, path string, value string"
+    a, b = spark.createDataFrame([("r", "image", "x:1"), ("r", "labels.a", "1")], leaves), spark.createDataFrame([("r", "image", "x:2"), ("r", "hostPID", "true")], leaves)
+    drift = cluster.manifest_drift(a, b)
+    assert {(r["path"], r["severity"]) for r in drift.collect()} == {("image", "HIGH"), ("labels.a", "MEDIUM"), ("hostPID", "CRITICAL")}
+    assert [r["action"] for r in cluster.reconciliation(drift, "resource").orderBy("step").collect()] == ["IMMEDIATE_REVIEW", "AUTO_RECONCILE", "AUTO_RECONCILE", "MANUAL_FIX"]
+    assert cluster.health(cluster.pod_issues(df).withColumn("ns", F.lit("n")), spark.createDataFrame([("n",), ("m",)], "ns string"), "ns").where("ns = 'm'").first()["status"] == "healthy"
+
+
+def test_project_files(spark):
+    m = spark.createDataFrame([("p", "<dependency><artifactId> log4j-core </artifactId>\n<version>2.14.0</version></dependency><artifactId>x</artifactId><version>1</version>")], "path string, content string")
+    assert {(r["package"], r["version"]) for r in ingest.pom_xml(m).collect()} == {("log4j-core", "2.14.0"), ("x", "1")}
