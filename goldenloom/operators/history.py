@@ -2,8 +2,9 @@
 
 Captures of one key are numbered; capture k is compared with capture k-1 by a
 full outer join on (key, number). Numbering and ``lead`` run in two levels, in
-(key, period) and then over one row per (key, period), so that a key that
-holds a large part of all rows is spread over as many tasks as it has periods.
+(key, chunk) and then over one row per (key, chunk). A key has one chunk per
+LIMIT captures, cut at quantiles of their times, so a key that holds a large part
+of all rows is spread over tasks of bounded size however its times lie.
 
 Defined results: rows without key or capture time are not part of any history;
 captures of one key that share a time count once, by highest version (null
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from goldenloom.session import Scratch, utc_text
 
 OPEN_END = "9999-12-31 00:00:00"
+#: Captures of one key in a chunk, and chunks of one key at most.
+LIMIT, CHUNKS = 1_000_000, 1_024
 
 
 def state_digest(status: Column, fields: Column) -> Column:
@@ -29,9 +32,21 @@ def state_digest(status: Column, fields: Column) -> Column:
     return F.unhex(F.sha2(F.to_json(F.struct(F.coalesce(status, F.lit("")).alias("s"), entries.alias("f"))), 256))
 
 
-def numbered(df: DataFrame, key: str, at: str, period: str = "month") -> DataFrame:
+def with_chunks(df: DataFrame, key: str, at: str, limit: int) -> DataFrame:
+    """Adds ``chunk``: 0 for keys of up to ``limit`` rows, else the number of quantiles of the key's times that a row has passed."""
+    hot = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
+    cuts = F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)])
+    times = df.join(hot, key, "left_semi").groupBy(key).agg(F.percentile_approx(F.col(at).cast("double"), cuts, 1_000).alias("_all"))
+    # As many of the quantiles as the key needs.
+    step = F.greatest(F.lit(1), F.floor(F.lit(CHUNKS) * limit / F.col("_rows")).cast("int"))
+    bounds = times.join(hot, key).select(key, F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % step == 0)).alias("_cuts"))
+    passed = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col(at).cast("double")))
+    return df.join(bounds, key, "left").withColumn("chunk", passed).drop("_cuts")
+
+
+def numbered(df: DataFrame, key: str, at: str, limit: int) -> DataFrame:
     """Adds ``seq`` (1, 2, ... by ``at`` within ``key``) and ``chunk``, without one task per key."""
-    df = df.withColumn("chunk", F.date_trunc(period, at))
+    df = with_chunks(df, key, at, limit)
     inner = df.withColumn("_in", F.row_number().over(Window.partitionBy(key, "chunk").orderBy(at)))
     sizes = df.groupBy(key, "chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +68,7 @@ def chunked_lead(df: DataFrame, key: str, at: str, out: str) -> DataFrame:
     )
 
 
-def change_events(captures: DataFrame, scratch: Scratch, period: str = "month") -> DataFrame:
+def change_events(captures: DataFrame, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
     """One row per change: entity_id, at, kind ('inserted', 'changed', 'deleted'), chunk."""
     rows = captures.where(F.col("entity_id").isNotNull() & F.col("captured_at").isNotNull()).select(
         "entity_id",
@@ -66,10 +81,8 @@ def change_events(captures: DataFrame, scratch: Scratch, period: str = "month")
         ).alias("c"),
     )
     single = rows.groupBy("entity_id", "captured_at").agg(F.max("c").alias("c"))
-    snaps = scratch.save(
-        numbered(single.select("entity_id", "captured_at", "c.gone", "c.state"), "entity_id", "captured_at", period),
-        "snapshots",
-    )
+    single = scratch.save(single.select("entity_id", "captured_at", "c.gone", "c.state"), "captures")
+    snaps = scratch.save(numbered(single, "entity_id", "captured_at", limit), "snapshots")
     cur = snaps.alias("cur")
     old = snaps.select("entity_id", (F.col("seq") + 1).alias("seq"), "gone", "state").alias("old")
     joined = cur.join(
@@ -92,11 +105,11 @@ def change_events(captures: DataFrame, scratch: Scratch, period: str = "month")
     ).where("kind IS NOT NULL")
 
 
-def versions(captures: DataFrame, period: str = "month") -> DataFrame:
+def versions(captures: DataFrame, limit: int = LIMIT) -> DataFrame:
     """entity_id, valid_from, valid_to: one row per period in which one state held."""
     scratch = Scratch(captures.sparkSession, "history")
-    events = scratch.save(change_events(captures, scratch, period), "events")
-    scratch.drop("snapshots")
+    events = scratch.save(change_events(captures, scratch, limit), "events")
+    scratch.drop("captures", "snapshots")
     return chunked_lead(events, "entity_id", "at", "until").where("kind <> 'deleted'").select(
         "entity_id",
         utc_text(F.col("at")).alias("valid_from"),

@@ -45,8 +45,15 @@ def test_against_brute_force(spark):
     # Ties in every ordering column have no defined winner beyond version, arrival and deletion; keep one row of each.
     rows = list({(r[0], r[4], r[3], r[6], r[5] is None): r for r in rows}.values())
     rows += rows[:20]
-    got = history.versions(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(map(tuple, got.collect())) == brute(rows)
+    for limit in (history.LIMIT, 7):  # with and without chunks
+        got = history.versions(spark.createDataFrame(rows, SCHEMA), limit)
+        assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_hot_keys_are_cut_into_chunks(spark):
+    rows = spark.range(1000).selectExpr("'hot' AS k", "timestamp_seconds(id * id) AS t").unionByName(spark.createDataFrame([("cold", at(1))], "k string, t timestamp"))
+    sizes = {(r["k"], r["chunk"]): r["count"] for r in history.with_chunks(rows, "k", "t", 100).groupBy("k", "chunk").count().collect()}
+    assert sizes.pop(("cold", 0)) == 1 and sum(sizes.values()) == 1000 and len(sizes) >= 10 and max(sizes.values()) <= 130
 
 
 def test_empty(spark):
