@@ -74,7 +74,10 @@ _TOWN_WORDS = {"mt": "mount", "st": "saint", "ste": "sainte", "pt": "port", "lk"
 
 
 def fold(text: str) -> str:
-    text = (text or "").lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l")
+    text = (text or "").lower()
+    if text.isascii():
+        return text.replace("c/", "calle ")
+    text = text.replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l")
     text = text.replace("p.º", "paseo ").replace("p.°", "paseo ").replace("c/", "calle ").replace("n°", "no ").replace("nº", "no ")
     text = unicodedata.normalize("NFKD", text)
     return re.sub(r"[‐-―]", "-", "".join(c for c in text if not unicodedata.combining(c)))
@@ -294,12 +297,12 @@ def parsed(records: DataFrame) -> DataFrame:
 
 
 def with_towns(rows: DataFrame) -> DataFrame:
-    """Fills a missing town by the town most often written beside the postcode."""
+    """Fills a missing town by the town most often written beside the postcode; rows that need or have none do not take part in the join."""
     beside = rows.where("town <> '' AND post <> ''").groupBy("post", "town").agg(F.count("*").alias("n"))
     usual = beside.groupBy("post").agg(F.max(F.struct("n", "town"))["town"].alias("usual"))
-    return rows.join(usual, "post", "left").withColumn(
-        "town", F.when(F.col("town") == "", F.coalesce("usual", F.lit(""))).otherwise(F.col("town"))
-    ).drop("usual")
+    lacks = (F.col("town") == "") & (F.col("post") != "")
+    filled = rows.where(lacks).join(usual, "post", "left").withColumn("town", F.coalesce("usual", F.lit(""))).select(*rows.columns)
+    return rows.where(~lacks).unionByName(filled)
 
 
 def shortened(word: str) -> list[str]:
@@ -311,22 +314,25 @@ def shortened(word: str) -> list[str]:
     return sorted(out)
 
 
-def with_common(rows: DataFrame) -> DataFrame:
-    """Marks streets and towns whose spelling is common in the corpus and no misspelling of a far more common one."""
+def with_common(classes: DataFrame) -> DataFrame:
+    """Marks streets and towns whose spelling is common in the corpus and no misspelling of a far more common one; ``n`` are the rows of a class."""
     @F.pandas_udf("boolean")
     def misspelt(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_near(x, y, False, False) for x, y in zip(a, b)], dtype="bool")
 
-    cuts = F.udf(shortened, "array<string>")
+    @F.pandas_udf("array<string>")
+    def cuts(w: pd.Series) -> pd.Series:
+        return w.map(shortened)
+
     for c in ("street", "town"):
-        counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        many = counts.where((F.col("n") >= COMMON) & (F.col(c) != "")).select(F.col(c).alias("w"), "n", F.explode(cuts(c)).alias("cut"))
-        most = many.where(F.col("n") >= COMMON * RATIO).select(F.col("w").alias("right"), F.col("n").alias("most"), "cut")
-        rare = many.join(most, "cut").where(F.col("most") >= RATIO * F.col("n")).select("w", "right").distinct()
+        counts = classes.groupBy(c).agg(F.sum("n").alias("rows"))
+        many = counts.where((F.col("rows") >= COMMON) & (F.col(c) != "")).select(F.col(c).alias("w"), "rows", F.explode(cuts(c)).alias("cut"))
+        most = many.where(F.col("rows") >= COMMON * RATIO).select(F.col("w").alias("right"), F.col("rows").alias("most"), "cut")
+        rare = many.join(most, "cut").where(F.col("most") >= RATIO * F.col("rows")).select("w", "right").distinct()
         rare = rare.where(misspelt("w", "right")).select(F.col("w").alias(c), F.lit(True).alias("misspelt")).distinct()
-        counts = counts.join(rare, c, "left").select(c, ((F.col("n") >= COMMON) & F.col("misspelt").isNull()).alias(f"{c}_common"))
-        rows = rows.join(counts, c)
-    return rows
+        counts = counts.where(F.col("rows") >= COMMON).join(rare, c, "left_anti").select(c, F.lit(True).alias(f"{c}_common"))
+        classes = classes.join(counts, c, "left").withColumn(f"{c}_common", F.coalesce(f"{c}_common", F.lit(False)))
+    return classes
 
 
 def ordered(classes: DataFrame, key: str, scratch: Scratch, label: str) -> DataFrame:
@@ -354,7 +360,7 @@ def neighbours(classes: DataFrame, key: str, scratch: Scratch, label: str) -> Da
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", ignore_index=True)
         rows = list(pdf[list(CLASS)].itertuples(index=False, name=None))
-        number, ids, n = pdf["number"].to_numpy(), pdf["cid"].to_numpy(), len(pdf)
+        number, ids, n = pd.factorize(pdf["number"] + "|" + pdf["direction"])[0], pdf["cid"].to_numpy(), len(pdf)
         out = []
         for step in range(1, min(WINDOW, n - 1) + 1):
             for i in (number[:-step] == number[step:]).nonzero()[0]:
@@ -383,12 +389,13 @@ def joined(classes: DataFrame, keys: list) -> DataFrame:
 def building_pairs(records: DataFrame) -> DataFrame:
     """id1 < id2 of every two records at the same building."""
     scratch = Scratch(records.sparkSession, "addresses")
-    rows = scratch.save(with_common(scratch.save(with_towns(scratch.save(parsed(records), "parsed")), "towns")).where("town <> ''"), "rows")
-    key = F.struct("number", "direction", "street", "kind", "town")
-    rows = rows.withColumn("cid", F.xxhash64(key, F.lit(7)))
+    key = ("number", "direction", "street", "kind", "town")
+    rows = with_towns(scratch.save(parsed(records), "parsed")).where("town <> ''").withColumn("cid", F.xxhash64(F.struct(*key), F.lit(7)))
+    rows = scratch.save(rows, "rows")
+    # Everything that follows looks at classes; rows come back when the pairs of classes are known.
+    classes = rows.groupBy("cid", *key).agg(F.max("post").alias("post"), F.count("*").alias("n"))
     classes = scratch.save(
-        rows.groupBy("cid", "number", "direction", "street", "kind", "town", "street_common", "town_common")
-        .agg(F.max("post").alias("post"))
+        with_common(scratch.save(classes, "distinct"))
         .withColumn("k1", F.concat_ws("|", "number", "street", "town", "kind"))
         .withColumn("k2", F.concat_ws("|", "town", "number", F.reverse("street"), "kind"))
         .withColumn("k3", F.concat_ws("|", "number", F.reverse("town"), "street", "kind")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -63,7 +64,10 @@ for _full, _short in NICK.items():
 
 
 def fold(text: str) -> str:
-    text = (text or "").lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l").replace("đ", "d")
+    text = (text or "").lower()
+    if text.isascii():
+        return text
+    text = text.replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe").replace("ł", "l").replace("đ", "d")
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
@@ -106,6 +110,7 @@ def trade(word: str) -> str | None:
 _TRADE_SET = frozenset(TRADE_WORDS)
 
 
+@functools.lru_cache(100_000)
 def _near_trade(word: str) -> str | None:
     """The one word for a trade or branch that ``word`` misspells."""
     if len(word) < 5:
