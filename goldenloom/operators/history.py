@@ -44,9 +44,8 @@ def with_chunks(df: DataFrame, key: str, at: str, limit: int) -> DataFrame:
     return df.join(bounds, key, "left").withColumn("chunk", passed).drop("_cuts")
 
 
-def numbered(df: DataFrame, key: str, at: str, limit: int) -> DataFrame:
-    """Adds ``seq`` (1, 2, ... by ``at`` within ``key``) and ``chunk``, without one task per key."""
-    df = with_chunks(df, key, at, limit)
+def numbered(df: DataFrame, key: str, at: str) -> DataFrame:
+    """Adds ``seq``: 1, 2, ... by ``at`` within ``key``, over its chunks."""
     inner = df.withColumn("_in", F.row_number().over(Window.partitionBy(key, "chunk").orderBy(at)))
     sizes = df.groupBy(key, "chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,8 +67,11 @@ def chunked_lead(df: DataFrame, key: str, at: str, out: str) -> DataFrame:
     )
 
 
-def change_events(captures: DataFrame, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
-    """One row per change: entity_id, at, kind ('inserted', 'changed', 'deleted'), chunk."""
+def change_events(captures: DataFrame, scratch: Scratch, limit: int = LIMIT) -> tuple[DataFrame, bool]:
+    """One row per change: entity_id, at, kind ('inserted', 'changed', 'deleted'), chunk; and whether any key has more than one chunk.
+
+    Where none has, numbering is one window; the numbers are the same.
+    """
     rows = captures.where(F.col("entity_id").isNotNull() & F.col("captured_at").isNotNull()).select(
         "entity_id",
         "captured_at",
@@ -82,7 +84,12 @@ def change_events(captures: DataFrame, scratch: Scratch, limit: int = LIMIT) ->
     )
     single = rows.groupBy("entity_id", "captured_at").agg(F.max("c").alias("c"))
     single = scratch.save(single.select("entity_id", "captured_at", "c.gone", "c.state"), "captures")
-    snaps = scratch.save(numbered(single, "entity_id", "captured_at", limit), "snapshots")
+    hot = not single.groupBy("entity_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).isEmpty()
+    if hot:
+        snaps = numbered(with_chunks(single, "entity_id", "captured_at", limit), "entity_id", "captured_at")
+    else:
+        snaps = single.withColumn("seq", F.row_number().over(Window.partitionBy("entity_id").orderBy("captured_at"))).withColumn("chunk", F.lit(0))
+    snaps = scratch.save(snaps, "snapshots")
     cur = snaps.alias("cur")
     old = snaps.select("entity_id", (F.col("seq") + 1).alias("seq"), "gone", "state").alias("old")
     joined = cur.join(
@@ -97,20 +104,26 @@ def change_events(captures: DataFrame, scratch: Scratch, limit: int = LIMIT) ->
         .when(here & live & ~F.col("cur.state").eqNullSafe(F.col("old.state")), "changed")
         .when(here & ~live & was_live, "deleted")
     )
-    return joined.select(
+    events = joined.select(
         F.col("cur.entity_id").alias("entity_id"),
         F.col("cur.captured_at").alias("at"),
         F.col("cur.chunk").alias("chunk"),
         kind.alias("kind"),
     ).where("kind IS NOT NULL")
+    return events, hot
 
 
 def versions(captures: DataFrame, limit: int = LIMIT) -> DataFrame:
     """entity_id, valid_from, valid_to: one row per period in which one state held."""
     scratch = Scratch(captures.sparkSession, "history")
-    events = scratch.save(change_events(captures, scratch, limit), "events")
+    events, hot = change_events(captures, scratch, limit)
+    events = scratch.save(events, "events")
     scratch.drop("captures", "snapshots")
-    return chunked_lead(events, "entity_id", "at", "until").where("kind <> 'deleted'").select(
+    if hot:
+        ended = chunked_lead(events, "entity_id", "at", "until")
+    else:
+        ended = events.withColumn("until", F.lead("at").over(Window.partitionBy("entity_id").orderBy("at")))
+    return ended.where("kind <> 'deleted'").select(
         "entity_id",
         utc_text(F.col("at")).alias("valid_from"),
         F.coalesce(utc_text(F.col("until")), F.lit(OPEN_END)).alias("valid_to"),
