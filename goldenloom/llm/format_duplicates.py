@@ -1,10 +1,11 @@
 """Duplicates hidden by formatting differences: an incremental ledger of canonical keys.
 
-The ledger is a table bucketed by canonical key with the number of copies and
-the earliest (smallest) id of each key. A batch is aggregated to (key, copies,
-smallest id), full-outer-joined with the ledger bucket by bucket, counts are
+The ledger holds, bucketed by canonical key, the number of copies and the
+earliest (smallest) id of each key. A batch is aggregated to (key, copies,
+smallest id), full-outer-joined with the buckets that it touches, counts are
 added and the earliest representative is kept. Ids already counted are held in
-a second bucketed table, so an id delivered again adds nothing.
+buckets of their own, so an id delivered again adds nothing. The number of buckets
+follows the size that the ledger is made for; a later session opens it again.
 
 Defined results: a null, empty or blank attribute is the same empty value; all
 that is neither letter nor digit is removed after lower-casing, words of the
@@ -16,15 +17,16 @@ ledger; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
+import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldenloom.session import Scratch, table
 
-#: Ledger buckets; a multiple of the cores that write it.
-BUCKETS = 16
+#: Ledger buckets at least, and rows of a bucket at most.
+BUCKETS, ROWS = 16, 5_000_000
+LEDGER = "key binary, copies bigint, keep_id string"
 
 
 def bare(text: Column) -> Column:
@@ -44,67 +46,94 @@ def canonical_key(name: Column, email: Column, phone: Column) -> Column:
 
 
 class Ledger:
-    """Bucketed tables of counted keys and seen ids; every update writes a new version."""
-
-    def __init__(self, scratch: Scratch, buckets: int = BUCKETS):
-        self.scratch, self.spark, self.buckets = scratch, scratch.spark, buckets
-        self.tag, self.version = uuid.uuid4().hex[:12], 0
-        self.counts: DataFrame | None = None
-        self.seen: list[str] = []
-
-    def _write(self, df: DataFrame, kind: str, key: str) -> str:
-        name = f"goldenloom_{kind}_{self.tag}_{self.version}"
-        (
-            df.write.bucketBy(self.buckets, key)
-            .sortBy(key)
-            .option("path", self.scratch.path(f"{kind}-{self.version}"))
-            .saveAsTable(name)
-        )
-        return name
+    """Folders of counted keys and seen ids by bucket, and a manifest that names the current folder of each bucket.
+
+    ``add`` reads and rewrites only the buckets of keys that a batch touches; ids are appended, and only the touched buckets of ids are read. A batch
+    counts when the manifest has been replaced, so one that is cut off leaves the ledger as it was. ``Ledger.open`` goes on with a ledger of an
+    earlier session.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.version, self.counted, self.seen = 0, {}, {}
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, rows: int) -> Ledger:
+        """An empty ledger for about so many rows."""
+        return cls(spark, path, max(BUCKETS, -(-rows // ROWS)))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Ledger:
+        found = json.loads(spark.read.text(f"{path.rstrip('/')}/manifest.json", wholetext=True).first()[0])
+        out = cls(spark, path, found["buckets"])
+        out.version = found["version"]
+        out.counted, out.seen = ({int(k): v for k, v in found[n].items()} for n in ("counted", "seen"))
+        return out
+
+    def _commit(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        new, old = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in ("manifest.new", "manifest.json"))
+        fs = old.getFileSystem(conf)
+        text = json.dumps({"buckets": self.buckets, "version": self.version, "counted": self.counted, "seen": self.seen})
+        out = fs.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if fs.exists(old):
+            fs.delete(old, False)
+        fs.rename(new, old)
+
+    def bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, kind: str, key: str) -> list[int]:
+        """Writes rows by bucket into a new folder; the buckets that it holds."""
+        path = f"{self.path}/{kind}/v{self.version}"
+        df.withColumn("b", self.bucket(key)).repartition("b", key).write.mode("overwrite").partitionBy("b").parquet(path)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        names = [f.getPath().getName() for f in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        return [int(n[2:]) for n in names if n.startswith("b=")]
 
     def add(self, batch: DataFrame) -> None:
         """Counts the ids of ``batch`` (id, key) that no earlier batch held."""
         self.version += 1
         fresh = batch.groupBy("id").agg(F.min("key").alias("key"))
-        for name in self.seen:
-            fresh = fresh.join(self.spark.table(name), "id", "left_anti")
-        ids = self._write(fresh, "ids", "id")
-        new = self.spark.table(ids).groupBy("key").agg(F.count("*").alias("add"), F.min("id").alias("first"))
-        self.seen.append(ids)
-        if self.counts is None:
-            merged = new.select("key", F.col("add").alias("copies"), F.col("first").alias("keep_id"))
-        else:
-            merged = self.counts.join(new, "key", "full_outer").select(
-                "key",
-                (F.coalesce("copies", F.lit(0)) + F.coalesce("add", F.lit(0))).alias("copies"),
-                F.least("keep_id", "first").alias("keep_id"),
-            )
-        old = self.version - 1
-        self.counts = self.spark.table(self._write(merged, "counts", "key"))
-        if old:
-            self.spark.sql(f"DROP TABLE IF EXISTS goldenloom_counts_{self.tag}_{old}")
-            self.scratch.drop(f"counts-{old}")
-
-
-def copies(customers: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+        if self.seen:
+            touched = [r[0] for r in fresh.select(self.bucket("id")).distinct().collect()]
+            known = self._read([f"{self.path}/ids/v{v}/b={k}" for k in touched for v in self.seen.get(k, ())], "id string")
+            fresh = fresh.join(known, "id", "left_anti")
+        for k in self._write(fresh, "ids", "id"):
+            self.seen.setdefault(k, []).append(self.version)
+        own = [f"{self.path}/ids/v{self.version}/b={k}" for k, v in self.seen.items() if v[-1] == self.version]
+        new = self._read(own, "id string, key binary").groupBy("key").agg(F.count("*").alias("add"), F.min("id").alias("first"))
+        touched = [r[0] for r in new.select(self.bucket("key")).distinct().collect()]
+        old = self._read([f"{self.path}/keys/v{self.counted[k]}/b={k}" for k in touched if k in self.counted], LEDGER)
+        merged = old.join(new, "key", "full_outer").select(
+            "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("add", F.lit(0))).alias("copies"), F.least("keep_id", "first").alias("keep_id")
+        )
+        for k in self._write(merged, "keys", "key"):
+            self.counted[k] = self.version
+        self._commit()
+
+    def counts(self) -> DataFrame:
+        """key, copies, keep_id of all keys."""
+        return self._read([f"{self.path}/keys/v{v}/b={k}" for k, v in sorted(self.counted.items())], LEDGER)
+
+
+def copies(customers: DataFrame) -> DataFrame:
     """keep_id, copies of each set of two or more; batches are the years in which rows arrived."""
     spark = customers.sparkSession
     scratch = Scratch(spark, "ledger")
-    keyed = scratch.save(
-        customers.where("id IS NOT NULL").select(
-            "id",
-            canonical_key(F.col("name"), F.col("email"), F.col("phone")).alias("key"),
-            F.coalesce(F.year("ingested_at"), F.lit(0)).alias("batch"),
-        ),
-        "keyed",
+    keyed = customers.where("id IS NOT NULL").select(
+        "id", canonical_key(F.col("name"), F.col("email"), F.col("phone")).alias("key"), F.coalesce(F.year("ingested_at"), F.lit(0)).alias("batch")
     )
-    years = sorted(r["batch"] for r in keyed.select("batch").distinct().collect())
-    ledger = Ledger(scratch, buckets)
-    for year in years:
+    keyed, seen = scratch.save_and(keyed, "keyed", F.count(F.lit(1)).alias("rows"))
+    ledger = Ledger.create(spark, scratch.path("ledger"), seen["rows"])
+    for year in sorted(r["batch"] for r in keyed.select("batch").distinct().collect()):
         ledger.add(keyed.where(F.col("batch") == year).select("id", "key"))
-    if ledger.counts is None:
-        return spark.createDataFrame([], "keep_id string, copies bigint")
-    return ledger.counts.where("copies >= 2").select("keep_id", "copies")
+    return ledger.counts().where("copies >= 2").select("keep_id", "copies")
 
 
 QUERIES = {"p3_found": lambda spark, d: copies(table(spark, d, "customers"))}

@@ -62,6 +62,20 @@ def test_ledger_over_batches(spark):
     assert D.copies(df.limit(0)).count() == 0
 
 
+def test_a_ledger_is_opened_again_and_rewrites_touched_buckets_only(spark, tmp_path):
+    batch = lambda rows: spark.createDataFrame([(i, k.encode()) for i, k in rows], "id string, key binary")
+    path = str(tmp_path / "ledger")
+    first = D.Ledger(spark, path, 8)
+    first.add(batch([(f"i{n}", f"k{n % 20}") for n in range(40)]))
+    before = dict(first.counted)
+    later = D.Ledger.open(spark, path)
+    later.add(batch([("i0", "k1"), ("a", "k3"), ("i40", "new")]))
+    later.add(batch([]))
+    got = {r["key"].decode(): (r["copies"], r["keep_id"]) for r in D.Ledger.open(spark, path).counts().collect()}
+    assert got == {f"k{n}": (3, "a") if n == 3 else (2, min(f"i{n}", f"i{n + 20}")) for n in range(20)} | {"new": (1, "i40")}
+    assert sum(later.counted[k] != v for k, v in before.items()) <= 2
+
+
 def test_survivors_rank_and_ties(spark):
     import datetime as dt
 

@@ -92,5 +92,19 @@ def test_gaps_have_no_greatest_length(spark):
     assert [r["doc_id"] for r in residue.classify(spark.createDataFrame(docs, DOCS)).collect()] == [1]
 
 
+def test_kept_and_found_share_out_all_documents(spark, tmp_path):
+    docs = [(i, t, "s", "", "") for i, t in enumerate(CASES + FINE + PLAIN + [None, ""])]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"] for r in residue.QUERIES["p10_found"](spark, str(tmp_path)).collect()}
+    kept = {r["doc_id"] for r in residue.QUERIES["p10_kept"](spark, str(tmp_path)).collect()}
+    assert found and not found & kept and found | kept == set(range(len(docs)))
+
+
+def test_a_very_long_line_is_cut_into_spans(spark):
+    long = "the register of the desk holds many words and names " * 3000
+    docs = [(1, long, None, "", ""), (2, long + " Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor", None, "", "")] + [(1000 + i, t, None, "", "") for i, t in enumerate(PLAIN)]
+    assert [r["doc_id"] for r in residue.classify(spark.createDataFrame(docs, DOCS)).collect()] == [2]
+
+
 def test_residue_of_an_empty_table(spark):
     assert residue.classify(spark.createDataFrame([], DOCS)).count() == 0
