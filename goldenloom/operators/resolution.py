@@ -137,8 +137,9 @@ def resolve(entities: DataFrame, threshold: float = REVIEW) -> DataFrame:
     a, b = (p.select(F.col("id").alias(f"id_{x}"), F.col("fields").alias(x)) for x in "ab")
     scored = score_pairs(near.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "a", "b")).where(F.col("final") >= threshold)
     method = F.when(F.col("decision").isNull(), "fuzzy+semantic").otherwise("fuzzy+semantic+llm")
-    cols = ["fuzzy", "semantic", F.col("final").alias("confidence"), method.alias("method"), F.array_join("fields", ",").alias("fields")]
-    both = scored.select(F.col("id_a").alias("entity_id"), F.col("id_b").alias("candidate"), *cols).unionByName(scored.select(F.col("id_b").alias("entity_id"), F.col("id_a").alias("candidate"), *cols))
+    ends = F.array(F.struct(F.col("id_a").alias("entity_id"), F.col("id_b").alias("candidate")), F.struct(F.col("id_b").alias("entity_id"), F.col("id_a").alias("candidate")))
+    both = scored.select(F.explode(ends).alias("e"), "fuzzy", "semantic", F.col("final").alias("confidence"), method.alias("method"), F.array_join("fields", ",").alias("fields"))
+    both = both.select("e.*", "fuzzy", "semantic", "confidence", "method", "fields")
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("confidence"), "candidate")))
 
 

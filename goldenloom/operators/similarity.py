@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from goldenloom.functions.text import jaro_winkler, jaro_winkler_of, present, words
 from goldenloom.operators.components import components
 from goldenloom.rules import FUZZY_WEIGHTS_DEV, TEXT_TWICE
+from goldenloom.session import Scratch
 
 #: Rounding guard of prefix bounds.
 SLACK = 1e-9
@@ -137,7 +138,8 @@ def clusters(entities: DataFrame, scored: DataFrame, threshold: float) -> DataFr
 
     Entities of one profile are connected by the score 1 if it has a term and a weighted field; ``members`` counts entities.
     """
-    kept = scored.where(F.col("combined") >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "combined")
+    scratch = Scratch(entities.sparkSession, "clusters")
+    kept = scratch.save(scored.where(F.col("combined") >= threshold).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "combined"), "kept")
     p = profiles(entities)
     able = F.exists(F.array(*[F.coalesce(F.col("fields")[f], F.lit("")) for f in FUZZY_WEIGHTS_DEV]), lambda v: v != "") & (F.size(text_terms(F.col("fields"))) > 0)
     sizes = p.select("id", F.when(able, F.col("members")).otherwise(F.lit(1)).alias("n"))
@@ -153,9 +155,9 @@ def clusters(entities: DataFrame, scored: DataFrame, threshold: float) -> DataFr
 
 def duplicates_of(scored: DataFrame, ids: DataFrame, threshold: float = 0.75, k: int | None = None) -> DataFrame:
     """The profiles that score at least ``threshold`` against each asked one (column id), best first, as ``rank``."""
-    one = scored.select(F.col("id_a").alias("id"), F.col("id_b").alias("candidate"), "fuzzy", "cosine", "combined")
-    two = scored.select(F.col("id_b").alias("id"), F.col("id_a").alias("candidate"), "fuzzy", "cosine", "combined")
-    found = one.unionByName(two).join(ids.select("id").distinct(), "id", "left_semi").where(F.col("combined") >= threshold)
+    ends = F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("candidate")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("candidate")))
+    both = scored.where(F.col("combined") >= threshold).select(F.explode(ends).alias("e"), "fuzzy", "cosine", "combined").select("e.*", "fuzzy", "cosine", "combined")
+    found = both.join(ids.select("id").distinct(), "id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("combined"), "candidate"))
     found = found.withColumn("rank", rank)
     return found.where(F.col("rank") <= k) if k else found
