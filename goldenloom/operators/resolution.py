@@ -161,6 +161,21 @@ def queue(scored: DataFrame) -> DataFrame:
     return waiting.select(F.substring(F.sha2(F.concat_ws("|", "id_a", "id_b"), 256), 1, 16).alias("queue_id"), "id_a", "id_b", "combined", F.lit("pending").alias("status"))
 
 
+def listing(items: DataFrame, status: str | None = None) -> DataFrame:
+    """Items of a status, best first, beside how many of them are pending."""
+    kept = items.where(F.col("status") == status) if status else items
+    pending = kept.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.lit(1).alias("one"))
+    return kept.withColumn("one", F.lit(1)).join(pending, "one").drop("one").orderBy(F.desc("combined"), "id_a", "id_b")
+
+
+def remediation(clusters: DataFrame, auto: float = AUTO, review: float = 0.80) -> DataFrame:
+    """Clusters (cluster, members, max_score) by band with the action that it asks for."""
+    sure, likely = F.col("max_score") >= auto, F.col("max_score") >= review
+    band = F.when(sure, "high_confidence").when(likely, "medium_confidence").otherwise("low_confidence")
+    action = F.when(sure, "auto_merge").when(likely, "queue_for_review").otherwise("flag")
+    return clusters.select("cluster", "members", "max_score", band.alias("band"), action.alias("action"))
+
+
 def decided(items: DataFrame, decisions: DataFrame, known: DataFrame) -> DataFrame:
     """The queue after decisions (queue_id, approve, reason): pending items are approved, failed if one entity is unknown, or rejected with a reason."""
     ids = known.select("entity_id").distinct()

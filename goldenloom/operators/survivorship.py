@@ -41,12 +41,23 @@ def _best(v: DataFrame, order) -> DataFrame:
     return v.groupBy("golden_record_id", "field").agg(F.min(order)["value"].alias("value"))
 
 
-def strategy():
-    return F.when(F.col("field").isin(*rules.TRUST_FIELDS), "trust").when(F.col("field").isin(*rules.RECENCY_FIELDS), "recency").otherwise("majority")
-
-
-def golden(candidates: DataFrame) -> DataFrame:
-    """golden_record_id, field, value and the strategy that chose it."""
-    v = values(candidates).withColumn("strategy", strategy())
-    parts = [f(v.where(F.col("strategy") == s)).withColumn("strategy", F.lit(s)) for s, f in (("trust", by_trust), ("recency", by_recency), ("majority", by_majority))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+STRATEGIES = {"trust": by_trust, "recency": by_recency, "majority": by_majority, "longest": by_length, "shortest": lambda v: by_length(v, False)}
+
+
+def strategy(custom: dict[str, str] | None = None):
+    """The strategy of a field: a rule of one's own, else that of the fixed lists, else majority."""
+    out = F.when(F.col("field").isin(*rules.TRUST_FIELDS), "trust").when(F.col("field").isin(*rules.RECENCY_FIELDS), "recency").otherwise("majority")
+    for field, name in (custom or {}).items():
+        out = F.when(F.col("field") == field, name).otherwise(out)
+    return out
+
+
+def golden(candidates: DataFrame, custom: dict[str, str] | None = None) -> DataFrame:
+    """golden_record_id, field, value and the strategy that chose it; ``custom`` gives fields another one of STRATEGIES, an unknown one is trust."""
+    custom = {f: n if n in STRATEGIES else "trust" for f, n in (custom or {}).items()}
+    v = values(candidates).withColumn("strategy", strategy(custom))
+    out = None
+    for s in dict.fromkeys(("trust", "recency", "majority", *custom.values())):
+        part = STRATEGIES[s](v.where(F.col("strategy") == s)).withColumn("strategy", F.lit(s))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -11,7 +11,7 @@ from goldenloom.operators import graph
 from goldenloom.operators import ontology as O
 from goldenloom.operators import resolution as R
 from goldenloom.operators import retrieval as X
-from goldenloom.operators import similarity as S
+from goldenloom.operators import survivorship as V
 from goldenloom.operators import trust as T
 from goldenloom.plans import meaning
 from goldenloom.plans.scores import CUR, DEV, PII_DEV, QUALITY, VIOLATIONS
@@ -145,6 +145,9 @@ QUERIES = {
     "resolve_candidates": lambda s, d: R.resolve(_cur(s, d)),
     "resolve_golden_ids": lambda s, d: R.golden_ids(_cur(s, d), R.resolve(_cur(s, d))),
     "review_queue": lambda s, d: R.queue(_scored(s, d)).drop("queue_id"),
+    "review_listing": lambda s, d: R.listing(R.queue(_scored(s, d)).drop("queue_id"), "pending"),
+    "cluster_remediation": lambda s, d: R.remediation(meaning._clusters(s, d)),
+    "golden_records_custom": lambda s, d: V.golden(table(s, d, "resolution_candidates"), {"name": "longest", "city": "shortest", "country": "trust"}),
     "review_decisions": _decided,
     "auto_merges": lambda s, d: R.auto_merges(_scored(s, d)),
     "entity_updates": _updates,
@@ -206,6 +209,11 @@ ORACLES = {
     "pair_semantic_scores": f"""WITH {_MEM}, t AS (SELECT id_a, id_b, {_terms_sql('a')} AS x, {_terms_sql('b')} AS y FROM mp), n AS (SELECT id_a, id_b, list_sum(list_transform(x, lambda t: len(list_filter(y, lambda u: u = t)))) AS d, list_sum(list_transform(x, lambda t: len(list_filter(x, lambda u: u = t)))) AS xx,
       list_sum(list_transform(y, lambda t: len(list_filter(y, lambda u: u = t)))) AS yy FROM t) SELECT id_a, id_b, coalesce(round(d / sqrt(xx::DOUBLE * yy::DOUBLE), 4), 0.0::DOUBLE) AS semantic FROM n""",
     "review_queue": f"WITH {_QU} SELECT * FROM qu",
+    "review_listing": f"WITH {_QU} SELECT *, (SELECT count(*) FROM qu) AS pending FROM qu",
+    "cluster_remediation": "SELECT cluster, members, max_score, CASE WHEN max_score >= 0.95 THEN 'high_confidence' WHEN max_score >= 0.8 THEN 'medium_confidence' ELSE 'low_confidence' END AS band, CASE WHEN max_score >= 0.95 THEN 'auto_merge' WHEN max_score >= 0.8 THEN 'queue_for_review' ELSE 'flag' END AS action FROM (" + meaning.ORACLES["dup_clusters"] + ")",
+    "golden_records_custom": f"""WITH {meaning.VALUES}, {meaning._MAJORITY} SELECT *, 'longest' AS strategy FROM ({meaning._golden('length(value) DESC')}) WHERE field = 'name' UNION ALL SELECT *, 'shortest' FROM ({meaning._golden('length(value)')}) WHERE field = 'city'
+      UNION ALL SELECT *, 'trust' FROM ({meaning._golden('trust DESC')}) WHERE field IN ({meaning._T}, 'country') AND field <> 'name' UNION ALL SELECT *, 'recency' FROM ({meaning._golden('updated_at DESC NULLS LAST')}) WHERE field IN ({meaning._RC})
+      UNION ALL SELECT *, 'majority' FROM ({meaning._golden('n DESC', 'm')}) WHERE field NOT IN ({meaning._T}, {meaning._RC}, 'name', 'city', 'country')""",
     "review_decisions": f"""WITH {CUR}, {_QU}, x AS (SELECT *, CASE WHEN right(id_a, 1) IN ('1', '2', '3', '4', '5', '6') THEN right(id_a, 1) < '4' END AS ok, id_a IN (SELECT entity_id FROM cur) AND id_b IN (SELECT entity_id FROM cur) AS known FROM qu)
       SELECT id_a, id_b, combined, CASE WHEN ok IS NULL THEN 'pending' WHEN NOT ok THEN 'rejected' WHEN known THEN 'approved' ELSE 'failed' END AS status, CASE WHEN NOT ok THEN 'Manual rejection' END AS reason FROM x""",
     "auto_merges": f"WITH {_AM} SELECT * FROM am",

@@ -27,6 +27,15 @@ def read_csv(spark: SparkSession, path: str, entity_type: str, source: str = "cs
     return _to_entities(named, entity_type, source, "id" if keep_id else None)
 
 
+def read_samples(spark: SparkSession, **files: str) -> DataFrame:
+    """Entities of several files, one entity type each: ``customer=path, supplier=path``."""
+    out = None
+    for entity_type, path in files.items():
+        part = read_csv(spark, path, entity_type)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_json(spark: SparkSession, path: str, entity_type: str, source: str = "api_integration") -> DataFrame:
     """Entities of JSON lines: ``fields`` where a record has them, else all but the id; the id where there is one, else a digest of the fields.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from goldenloom import catalog
-from goldenloom.delivery import cluster, scan
+from goldenloom.delivery import cluster, pipeline, scan
 from goldenloom.functions import text as X
 from goldenloom.operators import analytics as A
 from goldenloom.operators import changes as H
@@ -310,3 +310,37 @@ def test_pods_and_drift(spark):
 def test_project_files(spark):
     m = spark.createDataFrame([("p", "<dependency><artifactId> log4j-core </artifactId>\n<version>2.14.0</version></dependency><artifactId>x</artifactId><version>1</version>")], "path string, content string")
     assert {(r["package"], r["version"]) for r in ingest.pom_xml(m).collect()} == {("log4j-core", "2.14.0"), ("x", "1")}
+
+
+def test_signed_webhooks(spark):
+    import hashlib
+    import hmac
+
+    for secret in ("short", "x" * 100):
+        sign = "sha256=" + hmac.new(secret.encode(), "päyload".encode(), hashlib.sha256).hexdigest()
+        hooks = spark.createDataFrame([("päyload", sign), ("päyload", "sha256=0"), ("other", sign), ("päyload", None)], "body string, signature string")
+        assert [tuple(r) for r in pipeline.genuine(hooks, secret).collect()] == [("päyload", sign)]
+    assert pipeline.genuine(hooks, "").count() == 4
+
+
+def test_webhooks_of_two_hosts(spark):
+    push = '{"ref": "refs/heads/main", "after": "0123456789", "%s": {"%s": "o/r"}, %s, "commits": [{"added": ["a.py", "k8s/x.yaml"], "removed": ["a.py"]}]}'
+    rows = [(1, "github_push", push % ("repository", "full_name", '"pusher": {"name": "ann"}')), (2, "gitlab_push", push % ("project", "path_with_namespace", '"user_name": "bob"')), (3, "github_push", "{"), (4, "else", None)]
+    got = {r["event_id"]: r for r in pipeline.webhook_events(spark.createDataFrame(rows, "event_id int, hook string, body string")).collect()}
+    assert [(got[i]["source"], got[i]["author"], got[i]["branch"], got[i]["commit_sha"], got[i]["files"]) for i in (1, 2)] == [("github", "ann", "main", "01234567", ["a.py", "k8s/x.yaml"]), ("gitlab", "bob", "main", "01234567", ["a.py", "k8s/x.yaml"])]
+    assert got[1]["infra"] and got[1]["production"] and not got[1]["dependencies"] and got[3]["repository"] == "unknown" and got[4]["event_type"] == "manual"
+
+
+def test_samples_of_two_types(spark, tmp_path):
+    for t in ("customer", "supplier"):
+        (tmp_path / f"{t}.csv").write_text(f"id,name\n{t[0]}1,A\n")
+    got = ingest.read_samples(spark, customer=str(tmp_path / "customer.csv"), supplier=str(tmp_path / "supplier.csv")).collect()
+    assert {(r["entity_id"], r["entity_type"]) for r in got} == {("c1", "customer"), ("s1", "supplier")}
+
+
+def test_ci_suggestions_and_savings(spark):
+    files = spark.createDataFrame([("a", "run: pip install x\nrun: npm install\nrun: pytest"), ("b", "timeout-minutes: 5\ncache")], "path string, content string")
+    runs = spark.createDataFrame([("b", 700.0, True, 1)] * 3, "path string, seconds double, failed boolean, retries int")
+    found = pipeline.ci_suggestions(files, runs)
+    assert {(r["path"], r["rule_id"], r["savings"]) for r in found.collect()} == {("a", "O001", 120), ("a", "O002", 180), ("a", "O010", 180), ("a", "O020", 0), ("a", "O031", 60), ("b", "O050", 280), ("b", "O060", 135)}
+    assert {r["path"]: r["dollars_a_month"] for r in pipeline.monthly_savings(found).collect()} == {"a": 43.2, "b": 33.2}
