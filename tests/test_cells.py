@@ -56,3 +56,13 @@ def test_combined_scores_of_all_pairs_without_sending_pairs(spark, small):
     scored = S.pair_scores(cur)
     assert {(r["entity_type"], r["id_a"], r["id_b"]): (r["fuzzy"], r["cosine"], r["combined"]) for r in scored.collect()} == brute(cur)
     assert not sent_after(scored)
+
+
+def test_clusters_from_a_forest_of_each_cell(spark, small):
+    cur = people(spark, 60)
+    edges = S.reached_edges(cur, 0.8)
+    assert not sent_after(edges)
+    n, pairs = S.profiles(cur).count(), S.pair_scores(cur, 0.8, reached=True).count()
+    assert edges.where("a <> b").count() < pairs and edges.count() <= n * -(-n // cells.CELL + 3)
+    want = {tuple(r) for r in S.clusters(cur, S.pair_scores(cur), 0.8).collect()}
+    assert {tuple(r) for r in S.connected(cur, edges).collect()} == want and want
