@@ -66,3 +66,12 @@ def test_clusters_from_a_forest_of_each_cell(spark, small):
     assert edges.where("a <> b").count() < pairs and edges.count() <= n * -(-n // cells.CELL + 3)
     want = {tuple(r) for r in S.clusters(cur, S.pair_scores(cur), 0.8).collect()}
     assert {tuple(r) for r in S.connected(cur, edges).collect()} == want and want
+
+
+def test_pairs_of_asked_profiles_only(spark, small):
+    cur = people(spark)
+    asked = cur.where("entity_id LIKE '%5'").select(S.F.col("entity_id").alias("id"))
+    ids = {r["id"] for r in asked.collect()}
+    want = {tuple(r) for r in S.pair_scores(cur).where("combined >= 0.8").collect() if {r["id_a"], r["id_b"]} & ids}
+    got = [tuple(r) for r in S.pair_scores(cur, 0.8, reached=True, asked=asked).collect()]
+    assert set(got) == want and len(got) == len(want) > 0
