@@ -75,3 +75,15 @@ def test_pairs_of_asked_profiles_only(spark, small):
     want = {tuple(r) for r in S.pair_scores(cur).where("combined >= 0.8").collect() if {r["id_a"], r["id_b"]} & ids}
     got = [tuple(r) for r in S.pair_scores(cur, 0.8, reached=True, asked=asked).collect()]
     assert set(got) == want and len(got) == len(want) > 0
+
+
+def test_bands_and_remediation_take_pairs_from_cells(spark, small, monkeypatch):
+    cur = people(spark)
+    monkeypatch.setattr(meaning, "_active", lambda s, d: cur)
+    want = S.pair_scores(cur).where("combined >= 0.8")
+    bands = meaning.QUERIES["pair_bands"](spark, "")
+    assert sum(r["pairs"] for r in bands.collect()) == want.count() > 0
+    assert all("Join" not in line for line in sent_after(bands))
+    seen = []
+    monkeypatch.setattr(S, "pair_scores", lambda *a, **k: seen.append(a))
+    assert meaning._clusters(spark, "").count() and not seen
