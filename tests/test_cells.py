@@ -87,3 +87,9 @@ def test_bands_and_remediation_take_pairs_from_cells(spark, small, monkeypatch):
     seen = []
     monkeypatch.setattr(S, "pair_scores", lambda *a, **k: seen.append(a))
     assert meaning._clusters(spark, "").count() and not seen
+
+
+def test_a_cosine_that_rounds_to_the_threshold_is_found(spark):
+    rows = spark.createDataFrame([("product", "a", ["sss"] * 10 + ["uuu"] * 21 + ["www"] * 2), ("product", "b", ["sss"])], "entity_type string, id string, terms array<string>")
+    found = S.cosine_pairs(rows, S.least_cosine(0.80))
+    assert [tuple(r) for r in found.collect()] == [("product", "a", "b", 0.4284)] and not sent_after(found)
