@@ -93,3 +93,13 @@ def test_a_cosine_that_rounds_to_the_threshold_is_found(spark):
     rows = spark.createDataFrame([("product", "a", ["sss"] * 10 + ["uuu"] * 21 + ["www"] * 2), ("product", "b", ["sss"])], "entity_type string, id string, terms array<string>")
     found = S.cosine_pairs(rows, S.least_cosine(0.80))
     assert [tuple(r) for r in found.collect()] == [("product", "a", "b", 0.4284)] and not sent_after(found)
+
+
+def test_fuzzy_scores_many_at_a_time_are_the_scalar_ones():
+    rng = random.Random(1)
+    texts = list({"".join(rng.choices("abcé 1", k=rng.choice((0, 1, 2, 5, 9, 30, 64, 65)))) for _ in range(120)} | {chr(0x4E00 + i) * 3 for i in range(150)})
+    many = strings.Strings(texts)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    assert many.jaro_winkler(a, b).tolist() == [X.jaro_winkler_of(texts[i], texts[j]) for i, j in zip(a, b)]
+    assert strings.rounded(np.array([0.42835, 0.00005, 0.1]), 4).tolist() == [0.4284, 0.0001, 0.1]
+    assert strings.coded(pa.array(["A", None, "a", ""]), str.lower)[0].tolist() == [0, -1, 0, -1]
