@@ -10,6 +10,7 @@ from test_core import entities
 from goldenloom.functions import strings
 from goldenloom.functions import text as X
 from goldenloom.operators import cells
+from goldenloom.operators import resolution as R
 from goldenloom.operators import similarity as S
 from goldenloom.plans import meaning
 from goldenloom.rules import FUZZY_WEIGHTS_DEV
@@ -103,3 +104,24 @@ def test_fuzzy_scores_many_at_a_time_are_the_scalar_ones():
     assert many.jaro_winkler(a, b).tolist() == [X.jaro_winkler_of(texts[i], texts[j]) for i, j in zip(a, b)]
     assert strings.rounded(np.array([0.42835, 0.00005, 0.1]), 4).tolist() == [0.4284, 0.0001, 0.1]
     assert strings.coded(pa.array(["A", None, "a", ""]), str.lower)[0].tolist() == [0, -1, 0, -1]
+
+
+def parties(spark, n=50, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        f = {"name": rng.choice(["north works", "north work", "nroth works", "zebra hall"]), "email": rng.choice(["info@x.org", "INFO@x.org ", "", None]), "phone": rng.choice(["+1 555 0101", "15550101", "-", None])}
+        f |= {"company_name": rng.choice(["north works ltd", "ltd north works", None]), "address": rng.choice(["12 long road rome", "long road 12", "12 long rd", None]), "city": rng.choice(["Rome", "Roma"]), "note": str(i % 9)}
+        rows.append(("customer", f"c{i:03}", f))
+    return entities(spark, rows)
+
+
+def test_candidates_are_scored_in_cells_like_all_pairs(spark, small):
+    cur = parties(spark)
+    rows = [(r["id"], r["fields"]) for r in S.profiles(cur).select("id", "fields").collect()]
+    pairs = spark.createDataFrame([(i, j, f, g) for i, f in rows for j, g in rows if i < j], "id_a string, id_b string, a map<string,string>, b map<string,string>")
+    want = R.score_pairs(pairs).where("final >= 0.75").select("id_a", "id_b", "scores", "fuzzy", "semantic", "final", "fields")
+    near = R.near_pairs(S.profiles(cur), 0.75)
+    got = R.judged(near).where("final >= 0.75").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 20
+    assert not sent_after(near)
