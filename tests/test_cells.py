@@ -12,7 +12,7 @@ from goldenloom.functions import text as X
 from goldenloom.operators import cells
 from goldenloom.operators import resolution as R
 from goldenloom.operators import similarity as S
-from goldenloom.plans import meaning
+from goldenloom.plans import changes, meaning
 from goldenloom.rules import FUZZY_WEIGHTS_DEV
 
 
@@ -125,3 +125,13 @@ def test_candidates_are_scored_in_cells_like_all_pairs(spark, small):
     got = R.judged(near).where("final >= 0.75").select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 20
     assert not sent_after(near)
+
+
+def test_golden_ids_need_sure_candidates_only(spark, small, monkeypatch):
+    cur = parties(spark)
+    monkeypatch.setattr(changes, "_cur", lambda s, d: cur)
+    seen, resolve = [], R.resolve
+    monkeypatch.setattr(R, "resolve", lambda e, t=R.REVIEW: seen.append(t) or resolve(e, t))
+    got = {tuple(r) for r in changes.QUERIES["resolve_golden_ids"](spark, "").collect()}
+    assert got == {tuple(r) for r in R.golden_ids(cur, resolve(cur)).collect()} and any(not r[2] for r in got)
+    assert seen == [R.AUTO]
